@@ -21,11 +21,11 @@ from .frames import WordRows, bounded_sample, filter_texts, fold, map_texts, raw
 
 BUCKETS, WIDTH = 1 << 15, 16
 #: The labelled sample: at most so many documents of each language, hashed by doc_id.
-PER_LANGUAGE = 700
+PER_LANGUAGE = 600
 #: Rejection may cost at most this share of the rightly predicted calibration documents.
 LOST = 0.002
 #: Words of a training snippet, snippets of a document, passes, first step.
-SNIPPET, SNIPPETS, PASSES, STEP = 40, 8, 3, 4.0
+SNIPPET, SNIPPETS, PASSES, STEP = 40, 5, 2, 4.0
 
 _letters = regex.compile(r"\p{L}+").findall
 
@@ -50,8 +50,8 @@ class Model:
     temperature: float
     least: float  # rejects below this score
 
-    def scorer(self):
-        """A function of one UTF-8 text (or None): (language or 'und', score)."""
+    def logits(self):
+        """A function of one UTF-8 text (or None): the logits before temperature, or None if no letter is in it."""
         k = len(self.languages)
 
         def row(word: bytes) -> np.ndarray:
@@ -60,15 +60,23 @@ class Model:
 
         rows = WordRows(k + 2, row)
 
-        def score(text: bytes | None) -> tuple[str, float]:
-            words = (text or b"").split()
-            at = rows.rows(words)
+        def logits(text: bytes | None) -> np.ndarray | None:
+            at = rows.rows((text or b"").split())
             sums = rows.block[at].sum(0, dtype=np.float64)
-            if not k or not sums[k + 1]:
+            return sums[:k] / max(sums[k], 1) + self.bias if k and sums[k + 1] else None
+
+        return logits
+
+    def scorer(self):
+        """A function of one UTF-8 text (or None): (language or 'und', score)."""
+        logits = self.logits()
+
+        def score(text: bytes | None) -> tuple[str, float]:
+            x = logits(text)
+            if x is None:
                 return "und", 0.0
-            logits = (sums[:k] / max(sums[k], 1) + self.bias) / self.temperature
-            best = int(logits.argmax())
-            return self.languages[best], float(1 / np.exp(logits - logits[best]).sum())
+            best = int(x.argmax())
+            return self.languages[best], float(1 / np.exp((x - x[best]) / self.temperature).sum())
 
         return score
 
@@ -94,16 +102,17 @@ def fit(sample: list[tuple[int, bytes, str]], lost: float = LOST, seed: int = 7)
                     grams[w] = subwords(w)[0]
                 ids += grams[w]
             if ids:
-                train.append((np.array(ids, np.int64), y))
+                own, many = np.unique(np.array(ids, np.int64), return_counts=True)
+                train.append((own, (many / len(ids))[:, None], y))
     embed = rng.normal(0, 0.3, (BUCKETS, WIDTH))
     layer, bias = np.zeros((WIDTH, k)), np.zeros(k)
     steps, done = max(1, PASSES * len(train)), 0
     for _ in range(PASSES):
         for i in rng.permutation(len(train)):
-            ids, y = train[i]
+            ids, share, y = train[i]
             step = STEP * (1 - done / steps)
             done += 1
-            x = embed[ids].mean(0)
+            x = (embed[ids] * share).sum(0)
             p = x @ layer + bias
             p = np.exp(p - p.max())
             p /= p.sum()
@@ -111,7 +120,7 @@ def fit(sample: list[tuple[int, bytes, str]], lost: float = LOST, seed: int = 7)
             back = layer @ p
             layer -= 0.1 * step * np.outer(x, p)
             bias -= 0.01 * step * p
-            np.subtract.at(embed, ids, step * back / len(ids))
+            embed[ids] -= step * back * share
     model = Model(languages, embed @ layer, bias, 1.0, 0.0)
     return calibrated(model, held, lost)
 
@@ -121,19 +130,20 @@ def calibrated(model: Model, held: list[tuple[bytes, int]], lost: float) -> Mode
     if not held:
         return model
 
-    def of(t: float) -> tuple[float, list[float]]:
-        model.temperature = t
-        score, loss, right = model.scorer(), 0.0, []
-        for text, y in held:
-            said, p = score(text)
-            hit = said == model.languages[y]
-            loss -= np.log(max(p if hit else (1 - p) / max(1, len(model.languages) - 1), 1e-9))
-            right += [p] * hit
-        return loss, right
-
-    model.temperature = min((0.25, 0.5, 1.0, 2.0, 4.0), key=lambda t: of(t)[0])
-    right = sorted(of(model.temperature)[1])
-    model.least = min(0.5, right[int(lost * len(right))]) if right else 0.0
+    logits = model.logits()
+    known = [(x, y) for x, y in ((logits(text), y) for text, y in held) if x is not None]
+    if not known:
+        return model
+    x, y = np.stack([a for a, _ in known]), np.array([b for _, b in known])
+
+    def chances(t: float) -> np.ndarray:
+        p = np.exp((x - x.max(1, keepdims=True)) / t)
+        return p / p.sum(1, keepdims=True)
+
+    model.temperature = min((0.25, 0.5, 1.0, 2.0, 4.0, 8.0), key=lambda t: -np.log(np.maximum(chances(t)[np.arange(len(y)), y], 1e-9)).sum())
+    p = chances(model.temperature)
+    right = np.sort(p.max(1)[p.argmax(1) == y])
+    model.least = min(0.5, float(right[int(lost * len(right))])) if len(right) else 0.0
     return model
 
 

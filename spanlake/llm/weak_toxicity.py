@@ -65,27 +65,29 @@ class Features(dict):
 
 
 def label_model(fires: np.ndarray, prior: float, start: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Posterior of class 1 for each row of ``fires`` (rows x voters), the firing rates in class 0 and 1, and the weights.
+    """Posterior of class 1 for each row of ``fires`` (rows x voters), the firing rates in class 0 and 1, the correlations.
 
-    The class share stays at ``prior``.  After each round the correlation of the voters within the classes gives each
-    a weight of 1 / (1 + sum of its positive correlations)."""
+    The class share stays at ``prior``.  From the fifth round on, a voter that fires together with voters that it is
+    correlated with, inside the classes, counts by 1 / (1 + the sum of those correlations), and a silent one by the root
+    of the same over all voters."""
     n, m = fires.shape
-    weight, post = np.ones(m), np.clip(start.astype(float), 0.02, 0.98)
+    post = np.clip(start.astype(float), 0.02, 0.98)
     rate_0 = rate_1 = np.zeros(m)
-    for _ in range(rounds if n and m else 0):
+    rho = np.zeros((m, m))
+    for k in range(rounds if n and m else 0):
         s = post.sum()
         rate_1 = (post @ fires + 0.05) / (s + 1)
-        rate_0 = ((1 - post) @ fires + 0.001) / (n - s + 1)
-        rate_0 = np.minimum(rate_0, rate_1 * 0.9)
+        rate_0 = np.minimum(((1 - post) @ fires + 0.001) / (n - s + 1), rate_1 * 0.9)
         on, off = np.log(rate_1 / rate_0), np.log((1 - rate_1) / (1 - rate_0))
-        rest = fires - (post[:, None] * rate_1 + (1 - post)[:, None] * rate_0)
-        cov = rest.T @ rest / n
-        sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-        rho = np.clip(cov / sd[:, None] / sd, 0, 1) - np.eye(m)
-        weight = 1 / (1 + np.where(rho > 0.1, rho, 0).sum(1))
-        logit = np.log(prior / (1 - prior)) + fires @ (on * weight) + (1 - fires) @ (off * weight)
-        post = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-    return post, rate_0, rate_1, weight
+        if k >= 4:
+            rest = fires - (post[:, None] * rate_1 + (1 - post)[:, None] * rate_0)
+            cov = rest.T @ rest / n
+            sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
+            rho = np.clip(cov / sd[:, None] / sd, 0, 1)
+            rho = np.where(rho > 0.1, rho, 0) * (1 - np.eye(m))
+        evidence = (fires * on / (1 + fires @ rho)).sum(1) + (1 - fires) @ (off / np.sqrt(1 + rho.sum(1)))
+        post = 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + evidence, -30, 30)))
+    return post, rate_0, rate_1, rho
 
 
 @dataclass
@@ -158,20 +160,21 @@ def fit(sample: list[tuple[int, bytes, int]], share_of_1: float, seed: int = 5)
         soft[1][docs[i]] += p
         soft[0][docs[i]] += 1 - p
     n_1, n_0 = post.sum() + 1e-9, (1 - post).sum() + 1e-9
-    odds = np.log((soft[1] + 0.1) / (n_1 + 0.2)) - np.log((soft[0] + 0.1) / (n_0 + 0.2))
-    z = odds / np.sqrt(1 / (soft[1] + 0.1) + 1 / (soft[0] + 0.1))
-    wanted = ((odds > 1.5) & (soft[1] > 1.5) & (z > 1.2)) | (z < -6)
+    seen = soft[0] + soft[1] + 1e-9
+    gain = [x * np.log(np.maximum(x, 1e-9) / (seen * n / (n_0 + n_1))) for x, n in zip(soft, (n_0, n_1))]
+    z = np.sqrt(np.maximum(2 * (gain[0] + gain[1]), 0)) * np.sign(soft[1] / n_1 - soft[0] / n_0)
+    wanted = (z > 4.5) | (z < -8)
     used = [d[wanted[d]] for d in docs]
 
     rng = np.random.default_rng(seed)
     w, b = np.zeros(BUCKETS), float(np.log(own_share / (1 - own_share)))
     steps = np.full(BUCKETS, 1e-6)
-    for _ in range(12):
+    for _ in range(15):
         for k in rng.permutation(len(learn)):
             d = used[learn[k]]
             g = 1 / (1 + np.exp(-np.clip(b + w[d].sum(), -30, 30))) - post[k]
             steps[d] += g * g
-            w[d] -= 0.3 * (g / np.sqrt(steps[d] + 1e-3) + 0.002 * w[d])
+            w[d] -= 0.3 * (g / np.sqrt(steps[d] + 1e-3) + 0.0003 * w[d])
             b -= 0.02 * g
     model = Model(w.astype(np.float32), b)
 
