@@ -6,8 +6,8 @@ collisions; what may reach the threshold is confirmed on the full sets.
 
 Equal sets collapse first, so copies cost one representative.  In a bucket every member is then compared with the
 bucket's first member only, which is linear in its size.  Where that leaves a bucket in more than one component, the
-members of different components are compared with each other by bit counts in blocks of bounded size, and those that may
-reach the threshold are confirmed in the same way: no link between different sets is given up for a bucket's size.
+members of different components are compared with each other in blocks of bounded size, by bit counts and then on full
+sets, and only the links that join components come out: no link between different sets is given up for a bucket's size.
 """
 
 from __future__ import annotations
@@ -131,14 +131,12 @@ def _digest(own: bytes) -> str:
     return hashlib.blake2b(own, digest_size=16).hexdigest()
 
 
-def confirmed(docs: DataFrame, texts_of: DataFrame, pairs: DataFrame, words: int, over: int, under: int) -> DataFrame:
-    """The pairs (a, b: nodes; da, db: digests of their sets) that reach the threshold on full sets.
+def full_sets(docs: DataFrame, texts_of: DataFrame, digests: DataFrame, words: int) -> DataFrame:
+    """(digest, own): the full set behind each of ``digests``, as packed 64-bit hashes.
 
-    ``texts_of`` names a document for each digest.  Only the texts of some pair are read again: their ids are broadcast
-    if they are at most BROADCAST_IDS, else joined by a shuffle.  A text whose set has another digest (its doc_id stands
-    twice) is left out."""
-    sides = pairs.select(F.col("da").alias("digest")).union(pairs.select(F.col("db").alias("digest"))).distinct()
-    wanted = small(texts_of.join(sides, "digest", "left_semi"))
+    ``texts_of`` names a document for each digest.  Only those texts are read again: their ids are broadcast if they are
+    proven to be few, else joined by a shuffle.  A text whose set has another digest (its doc_id stands twice) is left out."""
+    wanted = small(texts_of.join(digests, "digest", "left_semi"))
 
     def make():
         table = WordHashes()
@@ -151,7 +149,13 @@ def confirmed(docs: DataFrame, texts_of: DataFrame, pairs: DataFrame, words: int
         return step
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = map_texts(texts.join(wanted, "doc_id"), ["digest", "text"], "digest string, own binary", make)
+    return map_texts(texts.join(wanted, "doc_id"), ["digest", "text"], "digest string, own binary", make)
+
+
+def confirmed(docs: DataFrame, texts_of: DataFrame, pairs: DataFrame, words: int, over: int, under: int) -> DataFrame:
+    """The pairs (a, b: nodes; da, db: digests of their sets) that reach the threshold on full sets."""
+    sides = pairs.select(F.col("da").alias("digest")).union(pairs.select(F.col("db").alias("digest"))).distinct()
+    sets = full_sets(docs, texts_of, sides, words)
 
     def both():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -192,29 +196,71 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v"), F.col("v")).distinct())
 
 
-def _in_blocks(members: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of members of one bucket in different components whose estimate is at least ``least``.
-
-    ``members`` has band, key, n (members of the bucket), node, component, bits.  A bucket is dealt into blocks of about
-    BLOCK members and each pair of blocks is a group of its own, so no task holds more than two blocks."""
+def common(own: list[np.ndarray], left: np.ndarray, right: np.ndarray, pairs: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of own[left[x]] and own[right[y]] for (x, y) in ``pairs``.
+
+    Few pairs are intersected one by one; many at once, as products of 0/1 rows over 4,096 shingles at a time."""
+    if len(pairs[0]) <= 2000:
+        return np.array([len(np.intersect1d(own[left[x]], own[right[y]], assume_unique=True)) for x, y in zip(*pairs)], np.int64)
+    _, column, many = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+    shared = np.cumsum(many > 1) - 1
+    row = np.repeat(np.arange(len(own)), [len(x) for x in own])
+    keep = many[column] > 1
+    row, column = row[keep], shared[column[keep]]
+    total = np.zeros((len(left), len(right)), np.float32)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        a, b = np.searchsorted(column, (at, at + 4096))
+        ones = np.zeros((len(own), 4096), np.float32)
+        ones[row[a:b], column[a:b] - at] = 1
+        total += ones[left] @ ones[right].T
+    return np.rint(total[pairs]).astype(np.int64)
+
+
+def _in_blocks(members: DataFrame, least: float, over: int, under: int) -> DataFrame:
+    """Links (a, b) between different components of a bucket, as many as it takes to join them.
+
+    ``members`` has band, key, n (members of the bucket), node, component, bands, bits, own (the full set).  A bucket is
+    dealt into blocks of about BLOCK members and each pair of blocks is a group of its own, so no task holds more than
+    two blocks.  A pair is looked at in the first band that it has in common; bit counts say which pairs may reach the
+    threshold, and those are decided on the full sets.  What comes out is at most a tree over the members."""
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = members.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
     pair = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
-    dealt = own.withColumn("p", F.explode(F.array_distinct(pair))).select("band", "key", F.col("p.i").alias("i"), F.col("p.j").alias("j"), "block", "node", "component", "bits")
+    dealt = own.withColumn("p", F.explode(F.array_distinct(pair))).select("band", "key", F.col("p.i").alias("i"), F.col("p.j").alias("j"), "block", "node", "component", "bands", "bits", "own")
 
     def run(group: pa.Table) -> pa.Table:
-        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-        block = group.column("block").to_numpy()
-        node, component = group.column("node").to_numpy(), group.column("component").to_numpy()
+        i, j, band = (group.column(c)[0].as_py() for c in ("i", "j", "band"))
+        block, node, component = (group.column(c).to_numpy() for c in ("block", "node", "component"))
         bits = np.array(group.column("bits").to_pylist(), np.int64).view(np.uint64).reshape(len(node), -1)
+        bands = np.array(group.column("bands").to_pylist(), np.int64).reshape(len(node), -1)
+        own = [np.frombuffer(x, np.uint64) for x in group.column("own").to_pylist()]
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        alike = _estimates(bits[left], bits[right]) >= least
-        alike &= component[left][:, None] != component[right][None, :]
-        x, y = np.nonzero(alike)
-        a, b = node[left[x]], node[right[y]]
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    return dealt.groupBy("band", "key", "i", "j").applyInArrow(run, "a long, b long").distinct()
+        alike = _estimates(bits[left], bits[right])
+        may = (alike >= least) & (component[left][:, None] != component[right][None, :])
+        for k in range(band):
+            may &= bands[left, k][:, None] != bands[right, k][None, :]
+        pairs = np.nonzero(may)
+        size = np.array([len(x) for x in own], np.int64)
+        both = common(own, left, right, pairs)
+        good = under * both >= over * (size[left[pairs[0]]] + size[right[pairs[1]]] - both)
+        root = {int(c): int(c) for c in component}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        out = []
+        for x, y in zip(left[pairs[0][good]].tolist(), right[pairs[1][good]].tolist()):
+            p, q = find(int(component[x])), find(int(component[y]))
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                out.append((int(node[x]), int(node[y])))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    return dealt.groupBy("band", "key", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
@@ -260,15 +306,16 @@ def groups(docs: DataFrame, words: int = WORDS, over: int = OVER, under: int = U
     found = durable(components(links))
 
     placed = buckets.join(found.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = placed.groupBy("band", "key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band", "key")
-    rest = placed.join(split, ["band", "key"], "left_semi").where("n > 2").join(bits, "digest").select("band", "key", "n", "node", "component", "bits")
-    node_digest = classes.select("node", "digest")
-    more = _in_blocks(rest, least)
-    more = more.join(node_digest.select(F.col("node").alias("a"), F.col("digest").alias("da")), "a").join(node_digest.select(F.col("node").alias("b"), F.col("digest").alias("db")), "b")
-    more = durable(more.join(stars.select("da", "db"), ["da", "db"], "left_anti").select("a", "b", "da", "db"))
-    if not more.isEmpty():
-        found = durable(components(durable(links.union(confirmed(docs, text_of, more, words, over, under)))))
+    split = placed.where("n > 2").groupBy("band", "key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band", "key")
+    rest = durable(placed.join(split, ["band", "key"], "left_semi").select("band", "key", "n", "node", "digest", "component"))
+    if not rest.isEmpty():
+        sets = full_sets(docs, text_of, rest.select("digest").distinct(), words)
+        held = sets.join(classes.select("digest", "bands", "bits"), "digest")
+        more = durable(_in_blocks(rest.join(held, "digest"), least, over, under))
+        if not more.isEmpty():
+            found = durable(components(links.union(more)))
 
+    node_digest = classes.select("node", "digest")
     member = known.select("doc_id", "digest").distinct().join(node_digest, "digest").groupBy("doc_id").agg(F.min("node").alias("node"))
     named = member.join(found, "node", "left").select("doc_id", F.coalesce("component", "node").alias("c"))
     out = every.select("doc_id", "n_shingles").join(named, "doc_id", "left")
