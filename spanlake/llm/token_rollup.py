@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .frames import map_texts, raw
+from .frames import map_texts, raw, small
 from .subwords import chunk_ids, default_path
 
 KEYS = ("source", "lang", "tokenizer")
@@ -73,7 +73,7 @@ class Ledger:
         """The counts that hold now (of the documents in ``ids``): a document's signed rows cancel but for the last."""
         rows = self._tables("changes", _CHANGE)
         if ids is not None:
-            rows = rows.join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
+            rows = rows.join(small(ids.select("doc_id").distinct()), "doc_id", "left_semi")
         keys = [c.split()[0] for c in _COUNTED.split(", ")]
         return rows.groupBy(*keys).agg(F.sum("sign").cast("int").alias("sign")).where("sign <> 0")
 
@@ -133,10 +133,10 @@ def maintained(docs: DataFrame, labels: DataFrame, versions: dict[str, str | Non
         path = f"{shared}/token-ledger-{uuid.uuid4().hex}"
     ledger = Ledger(spark, path)
     ledger.commit("ingest", inserts=count_tokens(docs, versions))
-    low = labels.where("quality = 0 and doc_id is not null").select("doc_id").distinct()
+    low = small(labels.where("quality = 0 and doc_id is not null").select("doc_id").distinct())
     ledger.commit("takedown", deletes=low)
     ledger.commit("takedown", deletes=low)
-    toxic = labels.where("toxic = 1 and doc_id is not null").select("doc_id").distinct().join(low, "doc_id", "left_anti")
+    toxic = small(labels.where("toxic = 1 and doc_id is not null").select("doc_id").distinct().join(low, "doc_id", "left_anti"))
     masked = docs.join(toxic, "doc_id", "left_semi").withColumn("text", F.regexp_replace("text", "[0-9]+", "#"))
     ledger.commit("mask", revisions=count_tokens(masked, versions))
     return ledger.rollup()
