@@ -35,7 +35,7 @@ def count_tokens(docs: DataFrame, versions: dict[str, str | None]) -> DataFrame:
             texts, n = raw(batch, "text"), batch.num_rows
             out = []
             for name, ids in tables.items():
-                counts = [len(ids.of(t)) // 4 if ids else len((t or b"").split()) for t in texts]
+                counts = [len(ids.of(t)) // 4 if ids is not None else len((t or b"").split()) for t in texts]
                 out.append(pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array([name] * n), pa.array(counts, pa.int64()), batch.column(4)], ["doc_id", "source", "lang", "tokenizer", "n_tokens", "n_chars"]))
             return pa.Table.from_batches(out).combine_chunks().to_batches()[0] if n else None
 
