@@ -30,16 +30,19 @@ SNIPPET, SNIPPETS, PASSES, STEP = 40, 5, 2, 4.0
 _letters = regex.compile(r"\p{L}+").findall
 
 
-def subwords(word: bytes) -> tuple[list[int], int]:
-    """Buckets of the n-grams (2 to 4 characters, with marked ends) of a word's runs of letters, and how many letters it has."""
-    found, n = [], 0
-    for run in _letters(word.decode("utf-8", "replace").lower()):
-        n += len(run)
-        run = f"<{run}>"
-        for size in (2, 3, 4):
-            for i in range(len(run) - size + 1):
-                found.append(zlib.crc32(run[i : i + size].encode()) % BUCKETS)
-    return found, n
+def grams(run: str) -> list[int]:
+    """Buckets of the n-grams (2 to 4 characters, with marked ends) of a run of letters."""
+    run = f"<{run}>"
+    return [zlib.crc32(run[i : i + size].encode()) % BUCKETS for size in (2, 3, 4) for i in range(len(run) - size + 1)]
+
+
+def letter_runs(word: bytes) -> list[str]:
+    return _letters(word.decode("utf-8", "replace").lower())
+
+
+def subwords(word: bytes) -> list[int]:
+    """Buckets of all n-grams of a word's runs of letters."""
+    return [g for run in letter_runs(word) for g in grams(run)]
 
 
 @dataclass
@@ -54,9 +57,15 @@ class Model:
         """A function of one UTF-8 text (or None): the logits before temperature, or None if no letter is in it."""
         k = len(self.languages)
 
-        def row(word: bytes) -> np.ndarray:
-            found, n = subwords(word)
-            return np.concatenate([self.table[found].sum(0), [len(found), n]])
+        def of_run(run: str) -> np.ndarray:
+            found = grams(run)
+            return np.concatenate([self.table[found].sum(0), [len(found), len(run)]])
+
+        runs = WordRows(k + 2, of_run)
+
+        def row(word: bytes) -> np.ndarray:  # a word with other marks or case around it has the same runs
+            at = runs.rows(letter_runs(word))  # first, as it may replace the block
+            return runs.block[at].sum(0)
 
         rows = WordRows(k + 2, row)
 
@@ -87,7 +96,7 @@ def fit(sample: list[tuple[int, bytes, str]], lost: float = LOST, seed: int = 7)
     k = len(languages)
     if not k:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 0.0)
-    rng, grams = np.random.default_rng(seed), {}
+    rng, known = np.random.default_rng(seed), {}
     train, held = [], []
     for i, (_, text, language) in enumerate(sample):
         words, y = text.split(), languages.index(language)
@@ -98,9 +107,9 @@ def fit(sample: list[tuple[int, bytes, str]], lost: float = LOST, seed: int = 7)
         for c in cuts if len(cuts) <= SNIPPETS else rng.choice(cuts, SNIPPETS, replace=False):
             ids = []
             for w in words[c : c + SNIPPET]:
-                if w not in grams:
-                    grams[w] = subwords(w)[0]
-                ids += grams[w]
+                if w not in known:
+                    known[w] = subwords(w)
+                ids += known[w]
             if ids:
                 own, many = np.unique(np.array(ids, np.int64), return_counts=True)
                 train.append((own, (many / len(ids))[:, None], y))
