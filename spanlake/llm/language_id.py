@@ -77,8 +77,12 @@ class Model:
         return logits
 
     def scorer(self):
-        """A function of one UTF-8 text (or None): (language or 'und', score)."""
-        logits = self.logits()
+        """A function of one UTF-8 text (or None): (language or 'und', score).
+
+        Its table stays with the model, so later tasks of a worker find the words that earlier ones met."""
+        if not hasattr(self, "_logits"):
+            self._logits = self.logits()
+        logits = self._logits
 
         def score(text: bytes | None) -> tuple[str, float]:
             x = logits(text)
@@ -139,7 +143,7 @@ def calibrated(model: Model, held: list[tuple[bytes, int]], lost: float) -> Mode
     if not held:
         return model
 
-    logits = model.logits()
+    logits = model.logits()  # not kept: the model is broadcast without a table
     known = [(x, y) for x, y in ((logits(text), y) for text, y in held) if x is not None]
     if not known:
         return model
