@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of the contracts: these six ASCII characters and no others; ``bytes.split()`` cuts at exactly these.
@@ -91,19 +91,32 @@ def labels_of(labels: DataFrame, name: str) -> DataFrame:
     return rows.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
 
 
+def _below(many: dict[object, int], wanted: int) -> Column:
+    """True for rows of (label, _o) in the low end of the hash's range that holds about ``wanted`` rows of each label."""
+    held = F.lit(False)
+    for label, n in many.items():
+        least = F.lit(True) if n <= wanted else F.col("_o") < -(2**63) + 2**64 * wanted // n
+        held = F.when(F.col("label") == F.lit(label), least).otherwise(held)
+    return held
+
+
 def bounded_sample(docs: DataFrame, labelled: DataFrame, per_label: int, most_labels: int = 256, longest: int = 50_000) -> list[tuple[int, bytes, object]]:
     """At most ``per_label`` documents of each label, chosen by the hash of doc_id: (doc_id, text, label), in that order.
 
     ``labelled`` has (doc_id, label).  Texts that are null or over ``longest`` characters are not used for fitting (they
     are scored like any other).  More than ``most_labels`` labels are an error, so the result is bounded by
-    per_label * most_labels * longest characters whatever the size of the corpus.  The scan that picks the ids reads no
-    text column; only the chosen texts come to the driver.
+    per_label * most_labels * longest characters whatever the size of the corpus.  The scans that count labels and pick
+    ids read no text column.  Ids come to the driver from the low end of the hash's range alone, about twice per_label
+    of each label, so no task sees all ids of a label; of texts only the chosen ones come.
     """
-    order = F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample"))
-    ranked = labelled.select("doc_id", "label", order.alias("_o")).withColumn("_n", F.row_number().over(Window.partitionBy("label").orderBy("_o", "doc_id")))
-    picked = ranked.where(F.col("_n") <= per_label).drop("_n").limit(per_label * most_labels + 1).collect()
-    if len({r.label for r in picked}) > most_labels:
+    many = {r.label: r["count"] for r in labelled.groupBy("label").count().limit(most_labels + 1).collect()}
+    if len(many) > most_labels:
         raise ValueError(f"more than {most_labels} labels")
+    low = labelled.select("doc_id", "label", F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")).alias("_o")).where(_below(many, 2 * per_label))
+    of_label: dict[object, list] = {}
+    for r in sorted(low.collect(), key=lambda r: (r._o, r.doc_id)):
+        of_label.setdefault(r.label, []).append(r)
+    picked = [r for rows in of_label.values() for r in rows[:per_label]]
     if not picked:
         return []
     spark = docs.sparkSession

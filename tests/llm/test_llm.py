@@ -148,6 +148,20 @@ def held_out(rows, marks, name, parts, out):
 BIG = "/root/testdata/sf0.01"
 
 
+def test_sample_is_the_low_end_of_the_hash(spark):
+    docs = spark.range(4000).selectExpr("id as doc_id", "cast(id as string) as text")
+    labelled = docs.selectExpr("doc_id", "case when doc_id % 40 = 0 then 'rare' else 'usual' end as label")
+    ranked = [(r.doc_id, r.text.encode(), r.label) for r in docs.join(labelled, "doc_id").orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample"))).collect()]
+    want = collections.defaultdict(list)
+    for r in ranked:
+        want[r[2]].append(r)
+    got = frames.bounded_sample(docs, labelled, 150)
+    assert got == [r for r in ranked if r in want["rare"][:150] or r in want["usual"][:150]] and len(got) == 250
+    assert frames.bounded_sample(docs.limit(0), labelled.limit(0), 150) == []
+    with pytest.raises(ValueError):
+        frames.bounded_sample(docs, labelled, 150, most_labels=1)
+
+
 def test_classifiers_on_held_out_rows(spark):
     docs, labels = frames.table(spark, BIG, "documents"), frames.table(spark, BIG, "labels")
     marks = {r.doc_id: r for r in labels.collect()}
