@@ -52,6 +52,7 @@ def map_texts(df: DataFrame, columns: list[str], schema: str, make: Callable[[],
             out = step(batch)
             if out is not None and out.num_rows:
                 yield out
+        pa.default_memory_pool().release_unused()  # workers are used again: what one task's texts took goes back
 
     return df.select(*columns).mapInArrow(run, schema)
 
@@ -65,6 +66,7 @@ def filter_texts(df: DataFrame, make: Callable[[], Callable[[list[bytes | None]]
         for batch in batches:
             keep = keep or make()
             yield batch.filter(pa.array(keep(raw(batch, "text")), pa.bool_()))
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, df.schema)
 
@@ -130,22 +132,32 @@ def bounded_sample(docs: DataFrame, labelled: DataFrame, per_label: int, most_la
 class WordRows(dict):
     """Word (bytes) to the number of its row in ``block``, filled by ``make`` on first sight.
 
-    Emptied between documents once it has ``most`` words, so a worker's memory is bounded by that and by the longest text."""
+    Once it has ``most`` words it is set aside between documents and begun anew; words that come up again are taken over
+    from what was set aside, so usual words stay.  A worker's memory is bounded by twice that and by the longest text."""
 
-    def __init__(self, width: int, make: Callable[[bytes], object], kind=np.float32, most: int = 400_000):
+    def __init__(self, width: int, make: Callable[[bytes], object], kind=np.float32, most: int = 120_000):
         super().__init__()
         self.make, self.most = make, most
         self.block = np.zeros((4096, width), kind)
+        self.aside: dict[bytes, int] = {}
+        self.block_aside = self.block
 
     def __missing__(self, word: bytes) -> int:
+        old = self.aside.get(word)
+        row = self.make(word) if old is None else self.block_aside[old]
         n = len(self)
         if n == len(self.block):
             self.block = np.concatenate([self.block, np.zeros_like(self.block)])
-        self.block[n] = self.make(word)
+        self.block[n] = row
         self[word] = n
         return n
 
-    def rows(self, words: list[bytes]) -> np.ndarray:
+    def trim(self) -> None:
         if len(self) > self.most:
+            self.aside, self.block_aside = dict(self), self.block
             self.clear()
+            self.block = np.zeros_like(self.block[:4096])
+
+    def rows(self, words: list[bytes]) -> np.ndarray:
+        self.trim()
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))

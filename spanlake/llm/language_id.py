@@ -27,16 +27,23 @@ LOST = 0.002
 #: Words of a training snippet, snippets of a document, passes, first step.
 SNIPPET, SNIPPETS, PASSES, STEP = 40, 5, 2, 4.0
 
+_MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~0123456789"
 _letters = regex.compile(r"\p{L}+").findall
 
 
 def grams(run: str) -> list[int]:
     """Buckets of the n-grams (2 to 4 characters, with marked ends) of a run of letters."""
     run = f"<{run}>"
+    if run.isascii():
+        marked, n = run.encode(), len(run)
+        return [zlib.crc32(marked[i : i + size]) % BUCKETS for size in (2, 3, 4) for i in range(n - size + 1)]
     return [zlib.crc32(run[i : i + size].encode()) % BUCKETS for size in (2, 3, 4) for i in range(len(run) - size + 1)]
 
 
 def letter_runs(word: bytes) -> list[str]:
+    core = word.strip(_MARKS)
+    if core.isalpha():  # of bytes: ASCII letters alone
+        return [core.lower().decode()]
     return _letters(word.decode("utf-8", "replace").lower())
 
 
@@ -56,23 +63,24 @@ class Model:
     def logits(self):
         """A function of one UTF-8 text (or None): the logits before temperature, or None if no letter is in it."""
         k = len(self.languages)
-
-        def of_run(run: str) -> np.ndarray:
-            found = grams(run)
-            return np.concatenate([self.table[found].sum(0), [len(found), len(run)]])
-
-        runs = WordRows(k + 2, of_run)
+        table = np.concatenate([self.table, np.ones((BUCKETS, 1))], 1)  # the last column counts n-grams
+        runs = WordRows(k + 1, lambda run: np.add.reduce(table[grams(run)]))
 
         def row(word: bytes) -> np.ndarray:  # a word with other marks or case around it has the same runs
-            at = runs.rows(letter_runs(word))  # first, as it may replace the block
-            return runs.block[at].sum(0)
+            own = letter_runs(word)
+            if len(own) == 1:
+                at = runs[own[0]]  # first, as it may replace the block
+                return runs.block[at]
+            at = [runs[run] for run in own]
+            return runs.block[at].sum(0) if at else np.zeros(k + 1)
 
-        rows = WordRows(k + 2, row)
+        rows = WordRows(k + 1, row)
 
         def logits(text: bytes | None) -> np.ndarray | None:
+            runs.trim()
             at = rows.rows((text or b"").split())
             sums = rows.block[at].sum(0, dtype=np.float64)
-            return sums[:k] / max(sums[k], 1) + self.bias if k and sums[k + 1] else None
+            return sums[:k] / sums[k] + self.bias if k and sums[k] else None
 
         return logits
 
