@@ -18,7 +18,7 @@ import regex
 from tokenizers import Tokenizer
 
 #: Entries of either table; beyond them a chunk is encoded anew each time, so memory stays bounded.
-TABLE_ENTRIES = 500_000
+TABLE_ENTRIES = 250_000
 
 #: Chunks for which lower-casing and NFC act on each character alone: printable ASCII and Latin-1 from U+00A1 on.
 _PLAIN = re.compile(r"[!-~\xa1-\xff]+")
