@@ -6,16 +6,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import NOTE_CUE, NOTE_ISSUE
-from .intervals import outermost
+from .intervals import outermost, overlapping, union_length
 
 
 def parentheses(texts: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, start, end of matched pairs, and unresolved ones with end null and reason.
 
     The depth is a running sum less its running minimum below 0; a pair is two neighbours of one level."""
-    at = F.filter(F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1))), lambda i: F.substring(F.col("text"), i, F.lit(1)).isin("(", ")"))
-    rows = texts.where(F.col("text").rlike("[()]")).select(key, F.explode(at).alias("p"), "text")
-    rows = rows.select(key, (F.col("p") - 1).alias("at"), F.when(F.expr("substring(text, p, 1)") == "(", 1).otherwise(-1).alias("d"))
+    pieces = F.posexplode(F.regexp_extract_all(F.col("text"), F.lit("[^()]*[()]"), F.lit(0))).alias("i", "piece")
+    rows = texts.where(F.col("text").rlike("[()]")).select(key, pieces)
+    at = F.sum(F.length("piece")).over(Window.partitionBy(key).orderBy("i")) - 1
+    rows = rows.select(key, at.cast("int").alias("at"), F.when(F.col("piece").endswith("("), 1).otherwise(-1).alias("d"))
     w = Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("_s", F.sum("d").over(w)).withColumn("_low", F.least(F.lit(0), F.min("_s").over(w)))
     rows = rows.withColumn("_before", F.lag(F.col("_s") - F.col("_low"), 1, 0).over(Window.partitionBy(key).orderBy("at")))
@@ -32,3 +33,36 @@ def notes(texts: DataFrame, key: str = "doc_id", cue: str = NOTE_CUE, issue: str
     pairs = parentheses(texts, key).where("end is not null").join(texts.select(key, "text"), key)
     inner = F.expr("substring(text, start + 1, end - start)")
     return outermost(pairs.where(inner.rlike(cue) & inner.rlike(issue)).select(key, "start", "end"), [key])
+
+
+def anchors(found: DataFrame, texts: DataFrame, key: str = "doc_id", most: int = 60) -> DataFrame:
+    """key, start, end, a_start, a_end: what follows each note, without leading white space, at most ``most`` characters and
+    not into the next note; an anchor may be empty."""
+    nxt = F.lead("start").over(Window.partitionBy(key).orderBy("start"))
+    rows = found.select(key, "start", "end").withColumn("_next", nxt).join(texts.select(key, "text"), key)
+    stop = F.coalesce("_next", F.length("text"))
+    tail = F.substring(F.col("text"), F.col("end") + 1, F.lit(4096))
+    blank = F.length(F.regexp_extract(tail, r"(?U)^[\s\x1c-\x1f]*", 0))
+    first = F.least(F.col("end") + blank, stop)
+    return rows.select(key, "start", "end", first.alias("a_start"), F.least(first + most, stop).alias("a_end"))
+
+
+def shares(records: DataFrame, annotations: DataFrame, record_key: list[str], key: str = "doc_id") -> DataFrame:
+    """record_key, size, annotated, n_cut: characters of each record under annotations (their union), and how many
+    annotations that touch it are not whole in it.  Records without annotations count 0."""
+    own = [key, *record_key]
+    pairs = overlapping(records.select(*own, "start", "end"), annotations.select(key, F.col("start").alias("r_start"), F.col("end").alias("r_end")), key)
+    covered = union_length(pairs, own, "lo", "hi").withColumnRenamed("covered", "annotated")
+    cut = pairs.groupBy(*own).agg(F.count_if((F.col("r_start") < F.col("start")) | (F.col("r_end") > F.col("end"))).alias("n_cut"))
+    rows = records.select(*own, (F.col("end") - F.col("start")).cast("long").alias("size")).join(covered, own, "left").join(cut, own, "left")
+    return rows.na.fill(0, ["annotated", "n_cut"])
+
+
+def uncovered(texts: DataFrame, spans: DataFrame, token: str, key: str = "doc_id") -> DataFrame:
+    """key, at: places of the regular expression ``token`` that lie in no span."""
+    parts = F.posexplode(F.split("text", f"(?={token})", -1)).alias("i", "piece")
+    rows = texts.where(F.col("text").rlike(token)).select(key, parts)
+    start = F.coalesce(F.sum(F.length("piece")).over(Window.partitionBy(key).orderBy("i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    hits = rows.withColumn("at", start.cast("int")).where(F.col("piece").rlike(f"^(?:{token})")).select(key, "at")
+    inside = overlapping(hits.select(key, F.col("at").alias("start"), (F.col("at") + 1).alias("end")), spans.select(key, F.col("start").alias("r_start"), F.col("end").alias("r_end")), key)
+    return hits.join(inside.select(key, F.col("start").alias("at")).distinct(), [key, "at"], "left_anti")

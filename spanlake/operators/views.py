@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 def line_blocks(docs: DataFrame) -> DataFrame:
     """blocks(doc_id, position, raw_text, start, end): a block for each line of a text, with its place in the view.
 
-    Row-local: offsets are summed inside the array of lines, so nothing is shuffled."""
+    Row-local: offsets are summed inside the array of lines, so nothing is shuffled, and a row carries only its own line."""
     lines = F.split("text", "\n", -1)
-    held = docs.where("text is not null").select("doc_id", F.posexplode(F.transform(lines, lambda x: x)).alias("position", "raw_text"), lines.alias("_l"))
-    start = F.aggregate(F.slice("_l", F.lit(1), F.col("position")), F.lit(0), lambda s, x: s + F.length(x) + 1)
-    return held.select("doc_id", "position", "raw_text", start.alias("start"), (start + F.length("raw_text")).alias("end"))
+    starts = F.aggregate(
+        F.transform(lines, lambda x: F.length(x) + 1), F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")),
+        lambda s, n: F.struct((s["at"] + n).alias("at"), F.array_append(s["all"], s["at"]).alias("all")), lambda s: s["all"],
+    )
+    held = docs.where("text is not null").select("doc_id", F.posexplode(F.arrays_zip(lines.alias("t"), starts.alias("s"))).alias("position", "l"))
+    return held.select("doc_id", "position", F.col("l.t").alias("raw_text"), F.col("l.s").alias("start"), (F.col("l.s") + F.length("l.t")).alias("end"))
 
 
 def document_view(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:

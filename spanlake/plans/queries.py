@@ -312,7 +312,7 @@ SQL = {
       select doc_id, row_number() over (partition by doc_id order by unit, child) as ordinal, unit, child, start, "end", action from h""",
     "registry_fields": "with f as (select d.doc_id, unnest([{'i': 0, 'f': 'lang', 'v': lang}, {'i': 1, 'f': 'source', 'v': source}, {'i': 2, 'f': 'quality', 'v': cast(quality as varchar)}, {'i': 3, 'f': 'toxic', 'v': cast(toxic as varchar)}]) as r from documents d left join labels using (doc_id)) select doc_id, r.i as row_index, r.f as field, r.v as raw_value from f",
     "union_by_config": f'with {_WINDOWS} select configuration, cast(sum(length(text)) as bigint) as covered from (select distinct configuration, doc_id, text from w) group by 1',
-    "reference_alignment": "select item_id as reference_id, doc_id, instr(d.text, b.text) - 1 as start, instr(d.text, b.text) - 1 + length(b.text) as \"end\" from benchmark b, documents d where contains(d.text, b.text) and length(b.text) >= 24 and (instr(d.text, b.text) = 1 or substr(d.text, instr(d.text, b.text) - 1, 1) in (' ', chr(10), chr(9)))",
+    "reference_alignment": 'with h as (select item_id as reference_id, doc_id, length(b.text) as n, unnest(list_filter(range(0, length(d.text) - length(b.text) + 1), lambda i: substr(d.text, i + 1, length(b.text)) = b.text)) as i from benchmark b, documents d where length(b.text) > 0 and contains(d.text, b.text)) select reference_id, doc_id, cast(i as int) as start, cast(i + n as int) as "end" from h',
     "reference_probes": """with p as (select item_id, unnest(list_distinct_ordered) as probe, generate_subscripts(list_distinct_ordered, 1) - 1 as place from (select item_id, list_filter(list_transform(range(0, length(text), 40), lambda i: substr(text, i + 1, 80)), lambda s: length(s) >= 60) as list_distinct_ordered from benchmark)) select item_id, place, md5(probe) as digest from p""",
     "page_regions": """with l as (select page_id, unnest(string_split(html, chr(10))) as t, generate_subscripts(string_split(html, chr(10)), 1) as i from pages where html is not null), f as (select page_id, max(contains(t, '</body')) over q as r, max(contains(t, '<body')) over q as x from l window q as (partition by page_id order by i rows between unbounded preceding and current row))
       select page_id as source, case when r then 'reference_rules' when x then 'full_text' else 'document_metadata' end as region, count(*) as n from f group by 1, 2""",
