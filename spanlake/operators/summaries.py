@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 PERCENTILES = (25, 50, 75, 90, 95)
 
 
-def length_summary(values: DataFrame, key: list[str], value: str) -> DataFrame:
+def length_summary(values: DataFrame, key: list[str], value: str, percentiles: tuple[int, ...] = PERCENTILES) -> DataFrame:
     """key, n, least, p25 ... p95, most, by nearest rank.
 
     Values are counted before they are ordered, so a hot key costs as many rows as it has different values."""
     rows = values.where(F.col(value).isNotNull()).groupBy(*key, value).agg(F.count("*").alias("_c"))
     w = Window.partitionBy(*key).orderBy(value)
     rows = rows.withColumns({"_up": F.sum("_c").over(w), "_n": F.sum("_c").over(Window.partitionBy(*key))})
-    picks = [F.min(F.when(F.col("_up") >= F.ceil(F.col("_n") * p / 100), F.col(value))).alias(f"p{p}") for p in PERCENTILES]
+    picks = [F.min(F.when(F.col("_up") >= F.ceil(F.col("_n") * p / 100), F.col(value))).alias(f"p{p}") for p in percentiles]
     return rows.groupBy(*key).agg(F.sum("_c").alias("n"), F.min(value).alias("least"), *picks, F.max(value).alias("most"))
 
 

@@ -92,30 +92,65 @@ def aware(text: str, paragraphs: list[tuple[int, int]], target: int, overlap: in
     return out
 
 
-def aware_windows(texts: DataFrame, target: int, overlap: int) -> DataFrame:
-    """doc_id, ordinal, start, end, end_reason, next_start_reason for rows (doc_id, text, paragraphs array<struct<a, b>>).
+def aware_grid(texts: DataFrame, settings: tuple[tuple[str, int, int], ...]) -> DataFrame:
+    """The key columns, setting, ordinal, start, end, end_reason, next_start_reason for rows (keys, text, paragraphs
+    array<struct<a, b>>) and each (setting, target, overlap).
 
-    The next start depends on the chosen end, so this is a map over Arrow batches; rows stay where they are."""
-    check(target, overlap)
+    The next start depends on the chosen end, so this is a map over Arrow batches; rows stay where they are and are read
+    once for all settings."""
+    for _, target, overlap in settings:
+        check(target, overlap)
+    keys = [c for c in texts.columns if c not in ("text", "paragraphs")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for key, text, spans in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                found = aware(text or "", [(s["a"], s["b"]) for s in spans or []], target, overlap)
-                rows += [{"doc_id": key, "ordinal": i, "start": a, "end": b, "end_reason": w, "next_start_reason": h} for i, (a, b, w, h) in enumerate(found, 1)]
-            yield pa.RecordBatch.from_pylist(rows, _AWARE)
+            for i, (text, spans) in enumerate(zip(batch.column("text").to_pylist(), batch.column("paragraphs").to_pylist())):
+                marks = [(s["a"], s["b"]) for s in spans or []]
+                for name, target, overlap in settings:
+                    rows = [(name, n, *row) for n, row in enumerate(aware(text or "", marks, target, overlap), 1)]
+                    if rows:
+                        own = [batch.column(k).take(pa.array([i] * len(rows))) for k in keys]
+                        made = [pa.array(c, kind) for c, kind in zip(zip(*rows), _AWARE.types)]
+                        yield pa.RecordBatch.from_arrays(own + made, keys + _AWARE.names)
+
+    schema = ", ".join(f"`{k}` {texts.schema[k].dataType.simpleString()}" for k in keys)
+    return texts.select(*keys, "text", "paragraphs").mapInArrow(run, f"{schema}, setting string, ordinal int, start int, end int, end_reason string, next_start_reason string")
+
+
+def aware_windows(texts: DataFrame, target: int, overlap: int) -> DataFrame:
+    """doc_id, ordinal, start, end, end_reason, next_start_reason for rows (doc_id, text, paragraphs)."""
+    return aware_grid(texts.select("doc_id", "text", "paragraphs"), (("", target, overlap),)).drop("setting")
+
 
-    return texts.select(F.col("doc_id").cast("long"), "text", "paragraphs").mapInArrow(run, "doc_id long, ordinal int, start int, end int, end_reason string, next_start_reason string")
+def oversized_children(units: DataFrame, texts: DataFrame, least: int = TRIGGERS[0]) -> DataFrame:
+    """setting, method, target, overlap, doc_id, unit, ordinal, start, end, end_reason of the units above ``least``
+    characters, by all eight settings; exact ones have no reason.  Offsets are the document's."""
+    own = units.where(F.col("end") - F.col("start") > least).join(texts.select("doc_id", "text"), "doc_id")
+    rows = own.select("doc_id", "unit", F.col("start").alias("base"), F.expr("substring(text, start + 1, end - start)").alias("text"))
+    names = {(m, n, p): f"{m}-{n}-{p}" for m, n, p in OVERSIZED_GRID}
+    tuned = tuple((name, n, n * p // 100) for (m, n, p), name in names.items() if m == "boundary_aware")
+    parts = [aware_grid(paragraph_spans(rows), tuned).drop("next_start_reason")]
+    for (m, n, p), name in names.items():
+        if m == "exact":
+            parts.append(fixed_windows(rows, n, n * p // 100, keep_text=False).withColumns({"setting": F.lit(name), "end_reason": F.lit(None).cast("string")}))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    config = F.split("setting", "-")
+    target = config[1].cast("int")
+    return out.select("setting", config[0].alias("method"), target.alias("target"), F.floor(target * config[2].cast("int") / 100).cast("int").alias("overlap"), "doc_id", "unit", "ordinal", (F.col("base") + F.col("start")).alias("start"), (F.col("base") + F.col("end")).alias("end"), "end_reason")
 
 
-_AWARE = pa.schema([("doc_id", pa.int64()), ("ordinal", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("end_reason", pa.string()), ("next_start_reason", pa.string())])
+_AWARE = pa.schema([("setting", pa.string()), ("ordinal", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("end_reason", pa.string()), ("next_start_reason", pa.string())])
 
 
 def paragraph_spans(docs: DataFrame) -> DataFrame:
-    """Adds the spans of the lines, each with its newline, to (doc_id, text); empty ones are left out."""
+    """Adds the spans of the lines, each with its newline, to (keys, text); empty ones are left out."""
     lines = F.split("text", "\n", -1)
     last = F.size(lines) - 1
-    spans = F.transform(lines, lambda x, i: F.struct(F.aggregate(F.slice(lines, F.lit(1), i), F.lit(0), lambda s, y: s + F.length(y) + 1).alias("a"), F.length(x).alias("l"), i.alias("i")))
-    ends = F.transform(spans, lambda s: F.struct(s.a.alias("a"), (s.a + s.l + F.when(s.i < last, 1).otherwise(0)).alias("b")))
-    return docs.select("doc_id", "text", F.filter(ends, lambda s: s.a < s.b).alias("paragraphs"))
+    sizes = F.transform(lines, lambda x, i: F.length(x) + F.when(i < last, 1).otherwise(0))
+    spans = F.aggregate(
+        sizes, F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<a:int,b:int>>").alias("all")),
+        lambda s, n: F.struct((s["at"] + n).alias("at"), F.array_append(s["all"], F.struct(s["at"].alias("a"), (s["at"] + n).alias("b"))).alias("all")), lambda s: s["all"],
+    )
+    return docs.withColumn("paragraphs", F.filter(spans, lambda s: s.a < s.b))

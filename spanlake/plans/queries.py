@@ -267,7 +267,7 @@ _MARKED = """m as (
 )"""
 _UNITS = """u0 as (select *, sum(cast(creates_boundary as int)) over (partition by doc_id order by position) as unit from j
 ), u as (
-  select u1.doc_id, unit, kind, label, start, coalesce(lead(start) over (partition by u1.doc_id order by unit), length(text)) as "end", n_decisions
+  select u1.doc_id, unit, kind, label, start, cast(coalesce(lead(start) over (partition by u1.doc_id order by unit), length(text)) as int) as "end", n_decisions
   from (select doc_id, cast(unit as bigint) unit, min(start) as start, arg_min(proposed_kind, position) as kind, arg_min(label, position) as label, count(*) as n_decisions from u0 where unit > 0 group by 1, 2) u1
   join documents on documents.doc_id = u1.doc_id where text <> ''
 )"""
@@ -278,7 +278,7 @@ _CHILDREN = """k0 as (
 SQL = {
     "line_blocks": f'with {_LINES} select doc_id, position, start, "end", md5(raw_text) as digest from b',
     "block_identity": f"with {_LINES} select doc_id, position, sha256(doc_id || ':line:' || position) as block_id from b",
-    "document_views": "select doc_id, length(text) as n, sha256(text) as digest from documents where text is not null",
+    "document_views": "select doc_id, cast(length(text) as int) as n, sha256(text) as digest from documents where text is not null",
     "fixed_windows": f'with {_WINDOWS} select configuration, doc_id, ordinal, start, "end", md5(substr(text, start + 1, "end" - start)) as digest from w',
     "window_lengths": f'with {_WINDOWS} select configuration, count(*) as n, min("end" - start) as least, {_P.format(v=chr(34) + "end" + chr(34) + " - start")}, max("end" - start) as most from w group by 1',
     "window_overlaps": f'with {_WINDOWS}, o as (select configuration, greatest(0, coalesce(lag("end") over q - start, 0)) as x, greatest(0, coalesce("end" - lead(start) over q, 0)) as y from w window q as (partition by configuration, doc_id order by ordinal)) select configuration, count(*) as n, cast(sum(x) as bigint) as before, cast(sum(y) as bigint) as after from o group by 1',
@@ -299,8 +299,8 @@ SQL = {
     "repeated_lines": f"with {_LINES} select doc_id, md5(raw_text) as digest, count(*) as n, length(raw_text) * (count(*) - 1) as extra_chars, array_to_string(list(position order by position)[1:3], ',') as positions from b where length(raw_text) >= 40 group by doc_id, raw_text having count(*) > 1",
     "turn_runs": """with a as (select *, case when role is not distinct from lag(role) over q and row_number() over q > 1 then 0 else 1 end as new from conversations window q as (partition by conv_id order by turn)),
       r as (select *, cast(sum(new) over (partition by conv_id order by turn) as bigint) as run from a) select conv_id, run, any_value(role) as role, min(turn) as first, max(turn) as last, count(*) as n from r group by 1, 2""",
-    "longest_lines": f'with {_LINES}, r as (select source, doc_id, position, "end" - start as size, row_number() over (partition by source order by "end" - start desc, doc_id, position) as rank from b join documents using (doc_id)) select * from r where rank <= 8',
-    "median_documents": """with m as (select source, quantile_disc(length(text), 0.5) as median from documents group by 1), r as (select documents.source, doc_id, length(text) as size, median, row_number() over (partition by documents.source order by abs(length(text) - median), doc_id) as k from documents join m on m.source = documents.source) select source, doc_id, size, median from r where k = 1""",
+    "longest_lines": f'with {_LINES}, r as (select source, doc_id, position, "end" - start as size, cast(row_number() over (partition by source order by "end" - start desc, doc_id, position) as int) as rank from b join documents using (doc_id)) select * from r where rank <= 8',
+    "median_documents": """with m as (select source, quantile_disc(cast(length(text) as int), 0.5) as median from documents group by 1), r as (select documents.source, doc_id, cast(length(text) as int) as size, median, row_number() over (partition by documents.source order by abs(length(text) - median), doc_id) as k from documents join m on m.source = documents.source) select source, doc_id, size, median from r where k = 1""",
     "gallery": """with r as (select source, doc_id, row_number() over (partition by source order by doc_id) - 1 as i, count(*) over (partition by source) as n from documents)
       select source, doc_id from r where n <= 6 or i in (select round_even(k * (n - 1) / 5, 0) from range(6) t(k))""",
     "language_pivot": "select source, " + ", ".join(f"count(*) filter (lang = '{x}') as {x}" for x in ("de", "en", "es", "fr")) + " from documents group by 1",
@@ -309,11 +309,11 @@ SQL = {
     "structural_units": f"with {_LINES}, {_MARKED}, {_UNITS} select * from u",
     "unit_kinds": f'with {_LINES}, {_MARKED}, {_UNITS} select kind, count(*) as n, min("end" - start) as least, {_P.format(v=chr(34) + "end" + chr(34) + " - start")}, max("end" - start) as most from u group by 1',
     "hybrid_spans": f"""with {_LINES}, {_MARKED}, {_UNITS}, {_CHILDREN}, h as (select doc_id, unit, 0 as child, start, "end", 'retain_whole' as action from u where "end" - start <= 4000 union all select doc_id, unit, ordinal, start, "end", 'reuse_tested_children' from k)
-      select doc_id, row_number() over (partition by doc_id order by unit, child) as ordinal, unit, child, start, "end", action from h""",
+      select doc_id, cast(row_number() over (partition by doc_id order by unit, child) as int) as ordinal, unit, child, start, "end", action from h""",
     "registry_fields": "with f as (select d.doc_id, unnest([{'i': 0, 'f': 'lang', 'v': lang}, {'i': 1, 'f': 'source', 'v': source}, {'i': 2, 'f': 'quality', 'v': cast(quality as varchar)}, {'i': 3, 'f': 'toxic', 'v': cast(toxic as varchar)}]) as r from documents d left join labels using (doc_id)) select doc_id, r.i as row_index, r.f as field, r.v as raw_value from f",
     "union_by_config": f'with {_WINDOWS} select configuration, cast(sum(length(text)) as bigint) as covered from (select distinct configuration, doc_id, text from w) group by 1',
     "reference_alignment": 'with h as (select item_id as reference_id, doc_id, length(b.text) as n, unnest(list_filter(range(0, length(d.text) - length(b.text) + 1), lambda i: substr(d.text, i + 1, length(b.text)) = b.text)) as i from benchmark b, documents d where length(b.text) > 0 and contains(d.text, b.text)) select reference_id, doc_id, cast(i as int) as start, cast(i + n as int) as "end" from h',
-    "reference_probes": """with p as (select item_id, unnest(list_distinct_ordered) as probe, generate_subscripts(list_distinct_ordered, 1) - 1 as place from (select item_id, list_filter(list_transform(range(0, length(text), 40), lambda i: substr(text, i + 1, 80)), lambda s: length(s) >= 60) as list_distinct_ordered from benchmark)) select item_id, place, md5(probe) as digest from p""",
+    "reference_probes": """with p as (select item_id, unnest(list_distinct_ordered) as probe, generate_subscripts(list_distinct_ordered, 1) - 1 as place from (select item_id, list_filter(list_transform(range(0, length(text), 40), lambda i: substr(text, i + 1, 80)), lambda s: length(s) >= 60) as list_distinct_ordered from benchmark)) select item_id, cast(place as int) as place, md5(probe) as digest from p""",
     "page_regions": """with l as (select page_id, unnest(string_split(html, chr(10))) as t, generate_subscripts(string_split(html, chr(10)), 1) as i from pages where html is not null), f as (select page_id, max(contains(t, '</body')) over q as r, max(contains(t, '<body')) over q as x from l window q as (partition by page_id order by i rows between unbounded preceding and current row))
       select page_id as source, case when r then 'reference_rules' when x then 'full_text' else 'document_metadata' end as region, count(*) as n from f group by 1, 2""",
 }
