@@ -4,6 +4,9 @@ Words lose case and surrounding marks; numbers, units after numbers, and names b
 template words are hashed and joined with the windows of the benchmark items, so an item matches in spite of other
 numbers and names.  The values behind the placeholders must then stand for each other consistently: one value of the
 item for one value of the document throughout a match, and the other way round.
+
+A window with too many placeholders says too little by itself.  It is searched for in two other ways: longer, until it has
+enough fixed words, to the right and to the left; and by its words as they stand, which finds verbatim copies.
 """
 
 from __future__ import annotations
@@ -22,9 +25,12 @@ from .frames import durable, map_texts, raw, without
 WINDOW = 8
 #: Items of fewer template words are not searched for: they say too little.
 LEAST_WORDS = 5
-#: A window of the index has at most this share of placeholders.
+#: A window with a larger share of placeholders is dense: it is made longer, and is searched for by its words as they stand.
 MOST_SLOTS = 3 / 8
-#: A document leaks an item if at least this share of the item's windows is found consistently.
+#: Dense windows are made longer up to so many words; where that is too few, only the words as they stand are left.
+LONGEST = 64
+#: A document leaks an item if at least this share of the item's windows is found consistently: of the plain ones, of
+#: these and the ones made longer, or of all.
 LEAST_SHARE = 0.4
 #: Bits of the filter that documents' windows pass before the join; its size is fixed whatever the benchmark's is.
 FILTER_BITS = 22
@@ -41,6 +47,11 @@ _number = re.compile(r"[+-]?\d[\d.,:/]*[a-z%°]{0,3}").fullmatch
 WORD, NUMBER, UNIT, NAME = range(4)
 _NAMES = ("", "<number>", "<unit>", "<name>")
 _odd = np.random.default_rng(99).integers(0, 2**63, 64, dtype=np.uint64) | np.uint64(1)
+PLAIN, LONGER, EXACT = range(3)
+_BASE = int(_odd[5]) & ~7 | 5
+_BACK = pow(_BASE, -1, 1 << 64)
+_SALTS = np.random.default_rng(98).integers(0, 2**63, 3, dtype=np.uint64)
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 _SLOT_HASHES = np.array([0, *[xxhash.xxh3_64_intdigest(n) for n in _NAMES[1:]]], np.uint64)
 
 
@@ -58,6 +69,21 @@ class Words(dict):
         return out
 
 
+def _spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int) -> np.ndarray:
+    """Hashes of spans of any lengths, from sums of a polynomial."""
+    n = len(values)
+    if len(_powers[0]) < n:
+        for i, base in enumerate((_BASE, _BACK)):
+            powers = np.full(2 * n, base, np.uint64)
+            powers[0] = 1
+            _powers[i] = np.cumprod(powers)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(values * _powers[0][:n], out=sums[1:])
+    out = (sums[ends] - sums[starts]) * _powers[1][starts] + _SALTS[salt]
+    out = (out ^ (out >> np.uint64(32))) * _odd[0]
+    return out ^ (out >> np.uint64(29))
+
+
 @dataclass
 class Template:
     hashes: np.ndarray  # of each template word
@@ -74,6 +100,36 @@ class Template:
             out ^= out >> np.uint64(31)
         return out
 
+    def dense(self, size: int) -> np.ndarray:
+        """Places of the windows with too many placeholders."""
+        slots = np.concatenate([[0], np.cumsum(self.kinds != WORD)])
+        return np.flatnonzero(slots[size:] - slots[:-size] > MOST_SLOTS * size)
+
+    def longer(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(places, starts, ends, hashes) of dense windows of WINDOW words made longer to the right, and to the left, until they have as many fixed words as a plain one."""
+        places = self.dense(WINDOW) if len(self.kinds) >= WINDOW else ()
+        if not len(places):
+            return []
+        need = WINDOW - int(MOST_SLOTS * WINDOW)
+        words = np.flatnonzero(self.kinds == WORD)
+        before = np.concatenate([[0], np.cumsum(self.kinds == WORD)])
+        out = []
+        for way in range(2):
+            nth = before[places + WINDOW] - need if way else before[places] + need - 1
+            own = places[(nth >= 0) & (nth < len(words))]
+            edge = words[nth[(nth >= 0) & (nth < len(words))]]
+            starts, ends = (edge, own + WINDOW) if way else (own, edge + 1)
+            fits = ends - starts <= LONGEST
+            own, starts, ends = own[fits], starts[fits], ends[fits]
+            if len(own):
+                out.append((own, starts, ends, _spans(self.hashes, starts, ends, way)))
+        return out
+
+    def exact(self, size: int, places: np.ndarray | None = None) -> np.ndarray:
+        """Hashes of the words as they stand, for all windows or those at ``places``."""
+        places = np.arange(max(0, len(self.values) - size + 1)) if places is None else places
+        return _spans(self.values, places, places + size, 2)
+
 
 def template(text: bytes | None, table: Words) -> Template:
     """Canonical form of a whole text.  A name is a word with a capital and small letters that begins no sentence."""
@@ -94,32 +150,38 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def item_windows(items: DataFrame) -> DataFrame:
-    """hash, size, item_id, at, n (windows of the item), kinds, slots: a row for each window of each item.
+    """hash, size, item_id, at, way, n, kinds, slots: one to three rows for each window of each item.
 
-    Items shorter than WINDOW are one window of their own length; null, empty and very short items have none."""
+    ``way`` is PLAIN, LONGER or EXACT, and n[way] counts the item's windows that have a row of this way or a smaller one;
+    the last is all windows.  Items shorter than WINDOW are one window of their own length; null, empty and very short
+    items have none."""
 
     def make():
         table = Words()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            out: list[list] = [[] for _ in range(7)]
+            out: list[list] = [[] for _ in range(8)]
             for key, text in zip(batch.column(0).to_pylist(), raw(batch, "text")):
                 t = template(text, table)
                 size = min(WINDOW, len(t.hashes))
                 if size < LEAST_WORDS:
                     continue
-                hashes = _signed(t.windows(size)).tolist()
-                usable = [k for k in range(len(hashes)) if (t.kinds[k : k + size] != WORD).sum() <= MOST_SLOTS * size]
-                for k in usable:
-                    for column, value in zip(out, (hashes[k], size, key, k, len(usable), t.kinds[k : k + size].tolist(), _signed(t.values[k : k + size]).tolist())):
+                hashes, dense = _signed(t.windows(size)).tolist(), t.dense(size)
+                rows = [(hashes[k], k, PLAIN, k, k + size) for k in sorted(set(range(len(hashes))) - set(dense.tolist()))]
+                for places, starts, ends, own in t.longer():
+                    rows += zip(_signed(own).tolist(), places.tolist(), [LONGER] * len(own), starts.tolist(), ends.tolist())
+                rows += [(h, k, EXACT, k, k + size) for h, k in zip(_signed(t.exact(size, dense)).tolist(), dense.tolist())]
+                n = [len({r[1] for r in rows if r[2] <= way}) for way in (PLAIN, LONGER, EXACT)]
+                for h, k, way, a, z in rows:
+                    for column, value in zip(out, (h, z - a, key, k, way, n, t.kinds[a:z].tolist(), _signed(t.values[a:z]).tolist())):
                         column.append(value)
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int8()), pa.list_(pa.int64()))
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["hash", "size", "item_id", "at", "n", "kinds", "slots"])
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int8(), pa.list_(pa.int32()), pa.list_(pa.int8()), pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["hash", "size", "item_id", "at", "way", "n", "kinds", "slots"])
 
         return step
 
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    return map_texts(rows, ["item_id", "text"], "hash long, size int, item_id long, at int, n int, kinds array<tinyint>, slots array<long>", make)
+    return map_texts(rows, ["item_id", "text"], "hash long, size int, item_id long, at int, way tinyint, n array<int>, kinds array<tinyint>, slots array<long>", make)
 
 
 def consistent(matches: list[tuple[int, int, list[int], list[int], list[int]]]) -> tuple[set[int], bool]:
@@ -152,11 +214,14 @@ def consistent(matches: list[tuple[int, int, list[int], list[int], list[int]]])
 def leaks(docs: DataFrame, items: DataFrame, least_share: float = LEAST_SHARE) -> DataFrame:
     """doc_id, item_id, n_windows (of the item), n_found, share, same_values: the documents that carry an item.
 
+    The share is the largest of those of the plain windows, of these and the longer ones, and of all; of ties the last.
     Whole texts are searched.  Null and empty texts carry nothing, and rows without doc_id or item_id cannot be named
     and are left out; rows that share a doc_id are one document; of ties every item is returned.
     """
     known = durable(item_windows(items.where("item_id is not null")))
-    sizes = sorted(r.size for r in known.select("size").distinct().collect())
+    ways = {(r.way, r.size) for r in known.select("way", "size").distinct().collect()}
+    sizes, exact = [sorted(n for w, n in ways if w == way) for way in (PLAIN, EXACT)]
+    longer = any(w == LONGER for w, _ in ways)
     marks = known.select(F.col("hash").bitwiseAND(F.lit((1 << FILTER_BITS) - 1)).alias("m")).distinct().toArrow().column("m").to_numpy()
     bits = np.zeros(1 << FILTER_BITS, bool)
     bits[marks] = True
@@ -169,10 +234,11 @@ def leaks(docs: DataFrame, items: DataFrame, least_share: float = LEAST_SHARE) -
             out: list[list] = [[] for _ in range(5)]
             for key, text in zip(batch.column(0).to_pylist(), raw(batch, "text")):
                 t = template(text, table)
-                for size in sizes:
-                    hashes = t.windows(size)
-                    for q in np.flatnonzero(may[(hashes & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)]).tolist():
-                        for column, value in zip(out, (key, q, size, int(hashes[q : q + 1].view(np.int64)[0]), _signed(t.values[q : q + size]).tolist())):
+                own = [(None, None, None, t.windows(size), size) for size in sizes] + [(None, None, None, t.exact(size), size) for size in exact]
+                for places, starts, ends, hashes, size in own + [(*x, None) for x in t.longer()] if longer else own:
+                    for i in np.flatnonzero(may[(hashes & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)]).tolist():
+                        q, a, z = (i, i, i + size) if size else (int(places[i]), int(starts[i]), int(ends[i]))
+                        for column, value in zip(out, (key, q, z - a, int(hashes[i : i + 1].view(np.int64)[0]), _signed(t.values[a:z]).tolist())):
                             column.append(value)
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["doc_id", "q", "size", "hash", "theirs"])
@@ -181,13 +247,18 @@ def leaks(docs: DataFrame, items: DataFrame, least_share: float = LEAST_SHARE) -
 
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = map_texts(rows, ["doc_id", "text"], "doc_id long, q int, size int, hash long, theirs array<long>", make)
-    joined = found.join(known, ["hash", "size"]).select("doc_id", "item_id", "n", "at", "q", "kinds", "slots", "theirs")
+    joined = found.join(known, ["hash", "size"]).select("doc_id", "item_id", "n", "at", "way", "q", "kinds", "slots", "theirs")
 
     def decide(group: pa.Table) -> pa.Table:
         columns = [group.column(c).to_pylist() for c in ("at", "q", "kinds", "slots", "theirs")]
-        places, same = consistent(list(zip(*columns)))
-        n = group.column("n")[0].as_py()
-        if len(places) < least_share * n:
+        matches, ways, wanted = list(zip(*columns)), group.column("way").to_pylist(), group.column("n")[0].as_py()
+        places, same, n = set(), False, 0
+        for way, many in enumerate(wanted):
+            if many and (way == PLAIN or many > wanted[way - 1] or way in ways):
+                found, alike = consistent([m for m, w in zip(matches, ways) if w <= way])
+                if not n or len(found) * n >= len(places) * many:
+                    places, same, n = found, alike, many
+        if not places or len(places) < least_share * n:
             return group.slice(0, 0).select(["doc_id", "item_id"]).append_column("n_windows", pa.array([], pa.int64())).append_column("n_found", pa.array([], pa.int64())).append_column("share", pa.array([], pa.float64())).append_column("same_values", pa.array([], pa.bool_()))
         return pa.table({"doc_id": group.column("doc_id")[:1], "item_id": group.column("item_id")[:1], "n_windows": pa.array([n], pa.int64()), "n_found": pa.array([len(places)], pa.int64()), "share": [len(places) / n], "same_values": [same]})
 

@@ -281,6 +281,24 @@ def test_leaks(spark, odd):
     assert template_leaks.consistent([one])[0] == set()
 
 
+def test_leaks_of_dense_items(spark):
+    """Items with more numbers, units and names than fixed words: verbatim, in another context, and with other values."""
+    train, title = "A train travels 60 km in 2 hours and then 90 km in 3 hours.", "What Is The Capital City Of The French Republic Today?"
+    german = "Welche Stadt Liegt Am Fluss Rhein Zwischen Köln Und Bonn Mit Dom Heute?"
+    few = "Take 3 kg 4 kg 5 kg 6 kg 7 kg 8 kg of tin"
+    items = spark.createDataFrame([(1, train), (2, title), (3, german), (4, "1 2 3 5 8 13 21 34 55 89"), (5, few), (6, "Anna Berta Clara Dora Emma")], "item_id long, text string")
+    kept = [t.windows(template_leaks.WINDOW) for t in [template_leaks.template(train.encode(), template_leaks.Words())]][0]
+    docs = spark.createDataFrame(
+        [(1, f"noise {train} And noise"), (2, f"We asked {title} Nobody knew"), (3, f"Frage. {german} Niemand weiss es"), (4, "so 1, 2, 3, 5, 8, 13, 21, 34, 55, 89 go on"),
+         (5, "noise. A train travels 80 km in 4 hours and then 70 km in 5 hours."), (6, f"so {few}"), (7, title.lower()), (8, "we saw Anna Berta Clara Dora Emma there"),
+         (9, "A train travels 60 km in 60 hours and then 60 km in 60 hours."), (10, "1 2 3 4 5 6 7 8 9 10 11 12"), (11, "Anna Otto Clara Dora Emma What Is The Price Of The Dutch Tulip Market Now")],
+        "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in template_leaks.leaks(docs, items).collect()}
+    assert set(got) == {(1, 1), (2, 2), (3, 3), (4, 4), (5, 1), (6, 5), (7, 2), (8, 6)}
+    assert got[1, 1].share == 1 and got[1, 1].n_windows == len(kept) == 8 and got[1, 1].same_values and not got[5, 1].same_values
+    assert {r.doc_id for r in template_leaks.clean(docs, items).collect()} == {9, 10, 11}
+
+
 def test_leaks_against_brute_force(spark):
     docs, items = frames.table(spark, BIG, "documents"), frames.table(spark, BIG, "benchmark")
 
