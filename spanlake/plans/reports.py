@@ -167,6 +167,12 @@ def marker_context(s, d):
     return relations.observed_context(rows.where("kind is not null"), rows.where("position % 10 = 0").select("doc_id", F.col("position").alias("at")))
 
 
+def observed_context(s, d):
+    """The last six markers at or before every line."""
+    rows = Q._blocks_with_markers(s, d)
+    return relations.observed_context(rows.where("kind is not null"), rows.select("doc_id", F.col("position").alias("at")))
+
+
 def repeated_labels(s, d):
     rows = Q._blocks_with_markers(s, d).where("label is not null").groupBy("label").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs"), F.min("doc_id").alias("first"))
     return rows.where("n > 1")
@@ -263,7 +269,7 @@ SQL = {
 QUERIES = (
     fixed_corpus_diagnostics, fixed_sample_diagnostics, fixed_violations, unit_size_flags, exceed_shares, decision_counts, oversized_thresholds, oversized_exact, oversized_diagnostics, exact_against_aware,
     larger_parents, parent_expansion, parent_sample_coverage, enclosing_parents, span_context, hybrid_totals, hybrid_against_fixed, strategy_rubric, note_anchors, note_shares, uncovered_tokens,
-    alignment_decisions, page_map, marker_inventory, marker_context, repeated_labels, view_faults,
+    alignment_decisions, page_map, marker_inventory, marker_context, observed_context, repeated_labels, view_faults,
 )
 
 

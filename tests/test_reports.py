@@ -70,6 +70,19 @@ def test_uncovered(spark):
     assert sorted((r.doc_id, r["at"]) for r in history.uncovered(texts, spans, "дв").collect()) == [(1, 0), (1, 8)]
 
 
+def test_observed_context_of_every_line(spark):
+    blocks = {}
+    for r in queries._blocks_with_markers(spark, SF).select("doc_id", "position", "kind").collect():
+        blocks.setdefault(r.doc_id, []).append((r.position, r.kind))
+    want = set()
+    for doc, lines in blocks.items():
+        marks = sorted(p for p, kind in lines if kind is not None)
+        for at, _ in lines:
+            want |= {(doc, at, rank, p) for rank, p in enumerate([p for p in marks if p <= at][: -7 : -1], 1)}
+    got = [(r.doc_id, r["at"], r.rank, r.position) for r in reports.queries()["observed_context"](spark, SF).collect()]
+    assert len(got) == len(want) and set(got) == want and {at % 10 for _, at, _, _ in got} == set(range(10))
+
+
 def test_resolve_and_unlike_children(spark):
     links = spark.createDataFrame([("a", "p", "s"), ("b", "p", "s"), ("b", "q", "s")], "child_id string, parent_id string, link_set string")
     assert relations.resolve(links, "a", "s") == "p"
