@@ -32,6 +32,8 @@ LONGEST = 64
 #: A document leaks an item if at least this share of the item's windows is found consistently: of the plain ones, of
 #: these and the ones made longer, or of all.
 LEAST_SHARE = 0.4
+#: Or if it has so many windows of the item in a row, however long the item is: 32 words as one passage.
+LEAST_RUN = 25
 #: Bits of the filter that documents' windows pass before the join; its size is fixed whatever the benchmark's is.
 FILTER_BITS = 22
 
@@ -211,10 +213,34 @@ def consistent(matches: list[tuple[int, int, list[int], list[int], list[int]]])
     return found, all(x == y for (_, x), y in there.items())
 
 
-def leaks(docs: DataFrame, items: DataFrame, least_share: float = LEAST_SHARE) -> DataFrame:
+def longest_run(matches: list[tuple[int, int, list[int], list[int], list[int]]], least: int) -> int:
+    """Most windows in a row, on one diagonal, that are consistent among themselves; 0 if no row has ``least`` windows."""
+    by: dict[int, list] = {}
+    for m in matches:
+        by.setdefault(m[1] - m[0], []).append(m)
+
+    def rows(places: set[int]) -> list[list[int]]:
+        out: list[list[int]] = []
+        for at in sorted(places):
+            if out and out[-1][-1] == at - 1:
+                out[-1].append(at)
+            else:
+                out.append([at])
+        return [x for x in out if len(x) >= least]
+
+    most = 0
+    for own in by.values():
+        for row in rows({m[0] for m in own}):
+            found, _ = consistent([m for m in own if row[0] <= m[0] <= row[-1]])
+            most = max([most, *map(len, rows(found))])
+    return most
+
+
+def leaks(docs: DataFrame, items: DataFrame, least_share: float = LEAST_SHARE, least_run: int = LEAST_RUN) -> DataFrame:
     """doc_id, item_id, n_windows (of the item), n_found, share, same_values: the documents that carry an item.
 
     The share is the largest of those of the plain windows, of these and the longer ones, and of all; of ties the last.
+    A passage of ``least_run`` windows of the item in a row is enough whatever the share.
     Whole texts are searched.  Null and empty texts carry nothing, and rows without doc_id or item_id cannot be named
     and are left out; rows that share a doc_id are one document; of ties every item is returned.
     """
@@ -258,7 +284,7 @@ def leaks(docs: DataFrame, items: DataFrame, least_share: float = LEAST_SHARE) -
                 found, alike = consistent([m for m, w in zip(matches, ways) if w <= way])
                 if not n or len(found) * n >= len(places) * many:
                     places, same, n = found, alike, many
-        if not places or len(places) < least_share * n:
+        if not places or len(places) < least_share * n and not longest_run(matches, least_run):
             return group.slice(0, 0).select(["doc_id", "item_id"]).append_column("n_windows", pa.array([], pa.int64())).append_column("n_found", pa.array([], pa.int64())).append_column("share", pa.array([], pa.float64())).append_column("same_values", pa.array([], pa.bool_()))
         return pa.table({"doc_id": group.column("doc_id")[:1], "item_id": group.column("item_id")[:1], "n_windows": pa.array([n], pa.int64()), "n_found": pa.array([len(places)], pa.int64()), "share": [len(places) / n], "same_values": [same]})
 

@@ -299,6 +299,22 @@ def test_leaks_of_dense_items(spark):
     assert {r.doc_id for r in template_leaks.clean(docs, items).collect()} == {9, 10, 11}
 
 
+def test_leaks_of_passages(spark):
+    """A passage of a long item is found whatever its share of the item; shorter ones and scattered windows are not."""
+    rng = np.random.default_rng(11)
+    words = [f"{a}{b}" for a, b in zip(rng.choice(list("bcdfgh"), 200), rng.integers(1000, 9999, 200).astype(str))]
+    words[70], words[90] = "Boston", "Boston"
+    items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    swapped = ["Paris" if w == "Boston" else w for w in words]
+    unlike = [*words[60:90], "Paris", *words[91:100]]
+    docs = spark.createDataFrame(
+        [(1, "noise " + " ".join(words[60:120]) + " noise"), (2, "noise " + " ".join(swapped[60:120])), (3, "noise " + " ".join(words[60:91])), (4, "noise " + " ".join(words[60:92])),
+         (5, " and ".join(" ".join(words[i : i + 10]) for i in range(0, 200, 20))), (6, "noise " + " ".join(unlike))],
+        "doc_id long, text string")
+    got = {r.doc_id: r for r in template_leaks.leaks(docs, items).collect()}
+    assert set(got) == {1, 2, 4} and got[1].n_found == 53 and got[1].n_windows == 193 and got[1].same_values and not got[2].same_values
+
+
 def test_leaks_against_brute_force(spark):
     docs, items = frames.table(spark, BIG, "documents"), frames.table(spark, BIG, "benchmark")
 
