@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .frames import durable, map_texts, raw, without
 
 WINDOW = 8
-#: Items of fewer template words are not searched for: they say too little.
+#: Items of fewer template words say too little as templates: they are searched for by all their words as they stand.
 LEAST_WORDS = 5
 #: A window with a larger share of placeholders is dense: it is made longer, and is searched for by its words as they stand.
 MOST_SLOTS = 3 / 8
@@ -52,20 +52,20 @@ _odd = np.random.default_rng(99).integers(0, 2**63, 64, dtype=np.uint64) | np.ui
 PLAIN, LONGER, EXACT = range(3)
 _BASE = int(_odd[5]) & ~7 | 5
 _BACK = pow(_BASE, -1, 1 << 64)
-_SALTS = np.random.default_rng(98).integers(0, 2**63, 3, dtype=np.uint64)
+_SALTS = np.random.default_rng(98).integers(0, 2**63, 4, dtype=np.uint64)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 _SLOT_HASHES = np.array([0, *[xxhash.xxh3_64_intdigest(n) for n in _NAMES[1:]]], np.uint64)
 
 
 class Words(dict):
-    """Raw word to (hash of its lower-case core, flags): 1 number, 2 may be a unit, 4 written like a name, 8 ends a sentence, 16 has no core."""
+    """Raw word to (hash of its lower-case core, or of its marks if it has none, flags): 1 number, 2 may be a unit, 4 written like a name, 8 ends a sentence, 16 has no core."""
 
     def __missing__(self, word: bytes) -> tuple[int, int]:
         text = word.decode("utf-8", "replace")
         core = text.strip(_MARKS)
         low = core.lower()
         flags = bool(_number(low)) + 2 * (low in UNITS) + 4 * (len(core) > 1 and core[0].isupper() and core[1:].islower()) + 8 * (text[len(text.rstrip("\"')]}")) - 1 :][:1] in (".", "!", "?", ":")) + 16 * (not core)
-        out = xxhash.xxh3_64_intdigest(low), flags
+        out = xxhash.xxh3_64_intdigest(low or text), flags
         if len(self) < 500_000:
             self[word] = out
         return out
@@ -91,6 +91,7 @@ class Template:
     hashes: np.ndarray  # of each template word
     kinds: np.ndarray  # WORD, NUMBER, UNIT or NAME
     values: np.ndarray  # hash of what stands there
+    raw: np.ndarray  # the same with the words of marks alone
 
     def windows(self, size: int) -> np.ndarray:
         n = len(self.hashes) - size + 1
@@ -132,6 +133,11 @@ class Template:
         places = np.arange(max(0, len(self.values) - size + 1)) if places is None else places
         return _spans(self.values, places, places + size, 2)
 
+    def whole(self, size: int) -> np.ndarray:
+        """Hashes of all windows of the words as they stand, with those of marks alone."""
+        places = np.arange(max(0, len(self.raw) - size + 1))
+        return _spans(self.raw, places, places + size, 3)
+
 
 def template(text: bytes | None, table: Words) -> Template:
     """Canonical form of a whole text.  A name is a word with a capital and small letters that begins no sentence."""
@@ -141,10 +147,11 @@ def template(text: bytes | None, table: Words) -> Template:
     there = (flags & 16) == 0
     ends = np.concatenate([[True], (flags[:-1] & 8) > 0]) if len(flags) else np.zeros(0, bool)
     number = (flags & 1) > 0
+    every = values
     values, number, ends, flags = values[there], number[there], ends[there], flags[there]
     after = np.concatenate([[False], number[:-1]]) if len(flags) else np.zeros(0, bool)
     kinds = np.where(number, NUMBER, np.where(((flags & 2) > 0) & after, UNIT, np.where(((flags & 4) > 0) & ~ends, NAME, WORD)))
-    return Template(np.where(kinds == WORD, values, _SLOT_HASHES[kinds]), kinds, values)
+    return Template(np.where(kinds == WORD, values, _SLOT_HASHES[kinds]), kinds, values, every)
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -155,7 +162,8 @@ def item_windows(items: DataFrame) -> DataFrame:
     """hash, size, item_id, at, way, n, kinds, slots: one to three rows for each window of each item.
 
     ``way`` is PLAIN, LONGER or EXACT, and n[way] counts the item's windows that have a row of this way or a smaller one;
-    the last is all windows.  Items shorter than WINDOW are one window of their own length; null, empty and very short
+    the last is all windows.  Items shorter than WINDOW are one window of their own length; those shorter than LEAST_WORDS
+    are one EXACT window of all their words, with those of marks alone, and have minus its length as size.  Null and empty
     items have none."""
 
     def make():
@@ -167,6 +175,9 @@ def item_windows(items: DataFrame) -> DataFrame:
                 t = template(text, table)
                 size = min(WINDOW, len(t.hashes))
                 if size < LEAST_WORDS:
+                    if len(t.raw):
+                        for column, value in zip(out, (int(_signed(t.whole(len(t.raw)))[0]), -len(t.raw), key, 0, EXACT, [0, 0, 1], [], [])):
+                            column.append(value)
                     continue
                 hashes, dense = _signed(t.windows(size)).tolist(), t.dense(size)
                 rows = [(hashes[k], k, PLAIN, k, k + size) for k in sorted(set(range(len(hashes))) - set(dense.tolist()))]
@@ -246,7 +257,8 @@ def leaks(docs: DataFrame, items: DataFrame, least_share: float = LEAST_SHARE, l
     """
     known = durable(item_windows(items.where("item_id is not null")))
     ways = {(r.way, r.size) for r in known.select("way", "size").distinct().collect()}
-    sizes, exact = [sorted(n for w, n in ways if w == way) for way in (PLAIN, EXACT)]
+    sizes, exact = [sorted(n for w, n in ways if w == way and n > 0) for way in (PLAIN, EXACT)]
+    whole = sorted(-n for _, n in ways if n < 0)
     longer = any(w == LONGER for w, _ in ways)
     marks = known.select(F.col("hash").bitwiseAND(F.lit((1 << FILTER_BITS) - 1)).alias("m")).distinct().toArrow().column("m").to_numpy()
     bits = np.zeros(1 << FILTER_BITS, bool)
@@ -266,6 +278,11 @@ def leaks(docs: DataFrame, items: DataFrame, least_share: float = LEAST_SHARE, l
                         q, a, z = (i, i, i + size) if size else (int(places[i]), int(starts[i]), int(ends[i]))
                         for column, value in zip(out, (key, q, z - a, int(hashes[i : i + 1].view(np.int64)[0]), _signed(t.values[a:z]).tolist())):
                             column.append(value)
+                for size in whole:
+                    hashes = np.unique(t.whole(size))  # one place in a text is enough
+                    for h in _signed(hashes[may[(hashes & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)]]).tolist():
+                        for column, value in zip(out, (key, 0, -size, h, [])):
+                            column.append(value)
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["doc_id", "q", "size", "hash", "theirs"])
 

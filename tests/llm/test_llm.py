@@ -315,6 +315,15 @@ def test_leaks_of_passages(spark):
     assert set(got) == {1, 2, 4} and got[1].n_found == 53 and got[1].n_windows == 193 and got[1].same_values and not got[2].same_values
 
 
+def test_leaks_of_short_items(spark):
+    items = spark.createDataFrame([(1, "What is 17 * 24?"), (2, "E = m c"), (3, ""), (4, None), (5, "$$$"), (6, " \n"), (7, "Tallinn")], "item_id long, text string")
+    docs = spark.createDataFrame(
+        [(1, "So: what is 17 * 24? And what is 17 * 24?"), (2, "What is 17 + 24?"), (3, "What is 18 * 24?"), (4, "What is 17 24?"), (5, "(E = m c)"), (6, "E m c"), (7, "a $$$ b"), (8, ""), (9, None), (10, "What is 17 *"), (11, "to Tallinn.")],
+        "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.n_windows, r.n_found, r.same_values) for r in template_leaks.leaks(docs, items).collect()}
+    assert got == {k: (1, 1, True) for k in [(1, 1), (5, 2), (7, 5), (11, 7)]}
+
+
 def test_leaks_against_brute_force(spark):
     docs, items = frames.table(spark, BIG, "documents"), frames.table(spark, BIG, "benchmark")
 
