@@ -41,7 +41,7 @@ def anchors(found: DataFrame, texts: DataFrame, key: str = "doc_id", most: int =
     nxt = F.lead("start").over(Window.partitionBy(key).orderBy("start"))
     rows = found.select(key, "start", "end").withColumn("_next", nxt).join(texts.select(key, "text"), key)
     stop = F.coalesce("_next", F.length("text"))
-    tail = F.substring(F.col("text"), F.col("end") + 1, F.lit(4096))
+    tail = F.substring(F.col("text"), F.col("end") + 1, F.greatest(stop - F.col("end"), F.lit(0)))
     blank = F.length(F.regexp_extract(tail, r"(?U)^[\s\x1c-\x1f]*", 0))
     first = F.least(F.col("end") + blank, stop)
     return rows.select(key, "start", "end", first.alias("a_start"), F.least(first + most, stop).alias("a_end"))

@@ -64,6 +64,13 @@ def test_anchor_stops_before_the_next_note(spark):
     assert sorted((r.start, r.a_start, r.a_end) for r in history.anchors(found, texts).collect()) == [(0, 5, 7), (7, 11, 71)]
 
 
+def test_anchor_after_a_long_blank_run(spark):
+    texts = spark.createDataFrame([(1, "(a)" + " \n\t" * 70_000 + "bc"), (2, "(a)" + " " * 9000 + "(d)" + " " * 5000)], "doc_id long, text string")
+    found = spark.createDataFrame([(1, 0, 3), (2, 0, 3), (2, 9003, 9006)], "doc_id long, start int, end int")
+    got = sorted((r.doc_id, r.start, r.a_start, r.a_end) for r in history.anchors(found, texts).collect())
+    assert got == [(1, 0, 210_003, 210_005), (2, 0, 9003, 9003), (2, 9003, 14_006, 14_006)]
+
+
 def test_uncovered(spark):
     texts = spark.createDataFrame([(1, "дв (дв) дв"), (2, "(дв)"), (3, None)], "doc_id long, text string")
     spans = spark.createDataFrame([(1, 3, 7), (2, 0, 4)], "doc_id long, start int, end int")
