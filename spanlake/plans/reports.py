@@ -46,6 +46,11 @@ def fixed_violations(s, d):
     return validation.window_rules(Q._sized_windows(s, d).where("configuration = 'fixed-1000-10'"), 1000, 100)
 
 
+def fixed_grid_violations(s, d):
+    """All rules of all nine configurations."""
+    return validation.grid_rules(windows.fixed_grid(Q.docs(s, d), keep_text=True), Q.docs(s, d), windows.FIXED_GRID)
+
+
 def unit_size_flags(s, d):
     u = Q._units(s, d).withColumn("size", F.col("end") - F.col("start"))
     edges = summaries.length_summary(u, ["kind"], "size", (10, 90)).select("kind", "p10", "p90")
@@ -267,7 +272,7 @@ SQL = {
 }
 
 QUERIES = (
-    fixed_corpus_diagnostics, fixed_sample_diagnostics, fixed_violations, unit_size_flags, exceed_shares, decision_counts, oversized_thresholds, oversized_exact, oversized_diagnostics, exact_against_aware,
+    fixed_corpus_diagnostics, fixed_sample_diagnostics, fixed_violations, fixed_grid_violations, unit_size_flags, exceed_shares, decision_counts, oversized_thresholds, oversized_exact, oversized_diagnostics, exact_against_aware,
     larger_parents, parent_expansion, parent_sample_coverage, enclosing_parents, span_context, hybrid_totals, hybrid_against_fixed, strategy_rubric, note_anchors, note_shares, uncovered_tokens,
     alignment_decisions, page_map, marker_inventory, marker_context, observed_context, repeated_labels, view_faults,
 )

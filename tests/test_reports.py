@@ -14,6 +14,27 @@ def test_same_as_sql(spark, name):
     assert compare.same(spark, SF, (queries.queries() | reports.queries())[name], reports.SQL[name]) == ""
 
 
+def test_grid_violations_see_each_fault(spark):
+    from spanlake.plans import validation
+
+    got = reports.queries()["fixed_grid_violations"](spark, SF).collect()
+    assert len(got) == 9 * 8 and not any(r.violations for r in got)
+    texts = spark.createDataFrame([(1, "abcdefghij" * 3), (2, ""), (3, None), (4, "xy")], "doc_id long, text string")
+    grid = ((10, 20),)
+    good = [tuple(r) for r in windows.fixed_grid(texts, grid, keep_text=True).select("configuration", "doc_id", "ordinal", "start", "end", "text").collect()]
+
+    def faults(rows):
+        df = spark.createDataFrame(rows, "configuration string, doc_id long, ordinal int, start int, end int, text string")
+        return {r.check for r in validation.grid_rules(df, texts, grid).collect() if r.violations}
+
+    one = good[0][0]
+    assert faults(good) == set() and len(good) == 5
+    assert faults([r for r in good if r[1:3] != (1, 4)]) == {"count", "coverage"}
+    assert faults([r for r in good if r[1] != 4]) == {"count", "coverage"}
+    assert faults([*good, (one, 4, 2, 8, 2, "")]) >= {"count", "progress"} and faults([*good, (one, 2, 1, 0, 0, "")]) >= {"count"}
+    assert faults([(*r[:5], "?" + r[5][1:]) if r[1:3] == (1, 2) else r for r in good]) == {"text", "overlap_text"}
+
+
 def test_oversized_children_restore_their_units(spark):
     texts = spark.createDataFrame([(1, "x\n" + "abc def\n" * 700), (2, "y" * 2500), (3, ""), (4, None)], "doc_id long, text string")
     units = spark.createDataFrame([(1, 1, 0, 2), (1, 2, 2, 5602), (2, 1, 0, 2500)], "doc_id long, unit long, start int, end int")
