@@ -5,9 +5,13 @@ all minima, packed into eight words, estimate the similarity of a candidate by b
 collisions; what may reach the threshold is confirmed on the full sets.
 
 Equal sets collapse first, so copies cost one representative.  In a bucket every member is then compared with the
-bucket's first member only, which is linear in its size.  Where that leaves a bucket in more than one component, the
-members of different components are compared with each other in blocks of bounded size, by bit counts and then on full
-sets, and only the links that join components come out: no link between different sets is given up for a bucket's size.
+bucket's first member only, which is linear in its size.  Where that leaves a bucket in more than one component, its
+members are compared with each other: no link between different sets is given up for a bucket's size.  A bucket of at
+most BLOCK members is one group, decided by bit counts and then on full sets.  A larger one is cut into smaller ones, in
+an exact way: two sets that reach the threshold have a shingle in common among the first few of each in any one order, so
+members meet only under those, in an order that puts the bucket's usual shingles last.  What meets there is compared by
+bit counts, and only pairs that pass have their full sets fetched, once.  Rows dealt grow with the members, not with
+their pairs.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +36,10 @@ OVER, UNDER = 75, 100
 MARGIN = 0.19
 #: Members of a bucket that one task compares with each other.
 BLOCK = 512
+#: Members of a larger bucket that show what is usual in it, and buckets whose usual shingles may be broadcast (some 25 MB).
+SAMPLED, BROADCAST_BUCKETS = 64, 1000
+#: Groups that the shingles of each BLOCK members of a large bucket are dealt to.
+TOKEN_GROUPS = 8
 
 _rng = np.random.default_rng(20_240_229)
 _TIMES = (_rng.integers(0, 2**32, MINIMA, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)[:, None]
@@ -127,6 +136,18 @@ def _estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (1 - differ / MINIMA - chance) / (1 - chance)
 
 
+def _alike(words: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The same for the rows x and y of one block, pair by pair."""
+    differ = np.zeros(len(x), np.uint16)
+    for i in range(words.shape[1]):
+        bits = words[x, i] ^ words[y, i]
+        bits |= bits >> np.uint64(1)
+        bits |= bits >> np.uint64(2)
+        differ += np.bitwise_count(bits & np.uint64(0x1111111111111111))
+    chance = 2.0**-BITS
+    return (1 - differ / MINIMA - chance) / (1 - chance)
+
+
 def _digest(own: bytes) -> str:
     return hashlib.blake2b(own, digest_size=16).hexdigest()
 
@@ -176,7 +197,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node that each node of ``links`` (a, b) reaches, by alternating large and small stars.
 
     Each round is two aggregations and two joins on the node; rounds grow with the logarithm of a component's width.
-    Minima are summed up before each shuffle, so a hub is no hot task.  No link ever comes to the driver."""
+    Minima are summed up before each shuffle.  The rows of a hub, 16 bytes each, meet its minimum in a join whose skewed
+    side adaptive execution splits.  No link ever comes to the driver."""
     edges = durable(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
     for _ in range(most_rounds):
@@ -218,23 +240,163 @@ def common(own: list[np.ndarray], left: np.ndarray, right: np.ndarray, pairs: tu
     return np.rint(total[pairs]).astype(np.int64)
 
 
-def _in_blocks(members: DataFrame, least: float, over: int, under: int) -> DataFrame:
-    """Links (a, b) between different components of a bucket, as many as it takes to join them.
-
-    ``members`` has band, key, n (members of the bucket), node, component, bands, bits, own (the full set).  A bucket is
-    dealt into blocks of about BLOCK members and each pair of blocks is a group of its own, so no task holds more than
-    two blocks.  A pair is looked at in the first band that it has in common; bit counts say which pairs may reach the
-    threshold, and those are decided on the full sets.  What comes out is at most a tree over the members."""
+def _dealt(members: DataFrame, key: list[str]) -> DataFrame:
+    """``members`` (key, n, node and more) with block, i and j: members of a group of n deal into blocks of about BLOCK and
+    go to each pair of blocks (i, j) that has theirs, so that no task holds more than two blocks."""
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = members.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
     pair = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
-    dealt = own.withColumn("p", F.explode(F.array_distinct(pair))).select("band", "key", F.col("p.i").alias("i"), F.col("p.j").alias("j"), "block", "node", "component", "bands", "bits", "own")
+    return own.withColumn("p", F.explode(F.array_distinct(pair))).select(*key, F.col("p.i").alias("i"), F.col("p.j").alias("j"), *[c for c in own.columns if c not in (*key, "n")])
+
+
+def _usual(members: DataFrame) -> DataFrame:
+    """(band, key, usual): shingles that stand in a tenth or more of about SAMPLED members of each bucket, for the order of
+    shingles alone; members(band, key, n, node, own)."""
+    some = members.where(F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / SAMPLED)) == 0).select("band", "key", "own")
+
+    def run(group: pa.Table) -> pa.Table:
+        own = [np.frombuffer(x, np.uint64) for x in group.column("own").to_pylist()]
+        found, many = np.unique(np.concatenate(own), return_counts=True)
+        usual = found[(many > 1) & (10 * many >= len(own))]
+        return group.slice(0, 1).select(["band", "key"]).append_column("usual", pa.array([usual.tobytes()], pa.binary()))
+
+    return some.groupBy("band", "key").applyInArrow(run, "band int, key long, usual binary")
+
+
+def _firsts(members: DataFrame, over: int, under: int) -> DataFrame:
+    """(band, key, blocks, token, node, digest, component, n_own): the shingles under which members meet.
+
+    Of a set with k shingles, the first k - ceil(over k / under) + 1 in the bucket's order: unusual ones by hash, then the
+    usual ones by hash.  members has band, key, blocks, node, digest, component, own, usual."""
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            tokens, sizes = [], []
+            for own, usual in zip(batch.column("own").to_pylist(), batch.column("usual").to_pylist()):
+                own = np.frombuffer(own, np.uint64)
+                late = np.isin(own, np.frombuffer(usual or b"", np.uint64), assume_unique=True)
+                first = np.concatenate([own[~late], own[late]])[: len(own) + over * len(own) // -under + 1]
+                tokens.append(first.view(np.int64))
+                sizes.append(len(own))
+            flat = pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int64))
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in tokens])]).astype(np.int32)
+            return pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), flat)], [*kept, "n_own", "tokens"])
+
+        return step
+
+    kept = ["band", "key", "blocks", "node", "digest", "component"]
+    rows = map_texts(members, [*kept, "own", "usual"], "band int, key long, blocks int, node long, digest string, component long, n_own long, tokens array<long>", make)
+    return rows.select(*kept, "n_own", F.explode("tokens").alias("token"))
+
+
+def _rows(column: pa.ChunkedArray) -> np.ndarray:
+    """A column of lists of one length as a matrix."""
+    return np.ascontiguousarray(pa.compute.list_flatten(column.combine_chunks()).to_numpy(zero_copy_only=False)).reshape(len(column), -1)
+
+
+def _joined(parts: np.ndarray):
+    """A function of two parts: whether it joins them now, as nothing before has."""
+    root = {int(c): int(c) for c in parts}
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    def join(p: int, q: int) -> bool:
+        p, q = find(p), find(q)
+        root[max(p, q)] = min(p, q)
+        return p != q
+
+    return join
+
+
+def _meeting(tokens: DataFrame, bits: DataFrame, least: float, over: int, under: int, trees: bool) -> DataFrame:
+    """Pairs (band, key, blocks, a, b, da, db) of different components that meet under a token and may reach the threshold by
+    their sizes and bit counts: all of them, each in its first bucket, or with ``trees`` only the likeliest that it takes
+    to join the components of a group."""
+    key, gid = ["band", "key", "token"], ["band", "key", "g", "i", "j"]
+    met = tokens.groupBy(*key).agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select(*key, "n")
+    dealt = _dealt(tokens.join(met, key).join(bits, "digest"), key).withColumn("g", F.pmod("token", TOKEN_GROUPS * F.col("blocks")))
+
+    def run(group: pa.Table) -> pa.Table:
+        i, j = (group.column(c)[0].as_py() for c in ("i", "j"))
+        token, block, node, component, size = (group.column(c).to_numpy() for c in ("token", "block", "node", "component", "n_own"))
+        words = _rows(group.column("bits")).view(np.uint64)
+        nodes, first, number = np.unique(node, return_index=True, return_inverse=True)
+        order = np.argsort(token, kind="stable")
+        few, pairs = len(nodes) <= 4 * BLOCK, [np.zeros(0, np.int64)]
+        seen = np.zeros((len(nodes), len(nodes)) if few else (0, 0), bool)
+        for rows in np.split(order, np.flatnonzero(np.diff(token[order])) + 1):
+            left, right = rows[block[rows] == i], rows[block[rows] == j]
+            if few:
+                seen[np.ix_(number[left], number[right])] = True
+                continue
+            x, y = np.triu_indices(len(left), 1) if i == j else np.indices((len(left), len(right))).reshape(2, -1)
+            one, two = number[left[x]], number[right[y]]
+            pairs.append(np.minimum(one, two) * len(nodes) + np.maximum(one, two))
+        x, y = np.nonzero(np.triu(seen | seen.T, 1)) if few else np.divmod(np.unique(np.concatenate(pairs)), len(nodes))
+        x, y = first[x], first[y]
+        may = (component[x] != component[y]) & (under * np.minimum(size[x], size[y]) >= over * np.maximum(size[x], size[y]))
+        x, y = x[may], y[may]
+        alike = _alike(words, x, y)
+        may = alike >= least
+        x, y = x[may], y[may]
+        if trees:
+            join = _joined(component)
+            kept = [k for k in np.argsort(-alike[may], kind="stable").tolist() if join(int(component[x[k]]), int(component[y[k]]))]
+            x, y = x[kept], y[kept]
+        own = {c: pa.array([group.column(c)[0].as_py()] * len(x), group.schema.field(c).type) for c in ("band", "key", "blocks")}
+        digest = group.column("digest")
+        return pa.table(own | {"a": node[x], "b": node[y], "da": digest.take(pa.array(x)), "db": digest.take(pa.array(y))})
+
+    found = dealt.groupBy(*gid).applyInArrow(run, "band int, key long, blocks int, a long, b long, da string, db string")
+    once = found.groupBy("a", "b").agg(F.min(F.struct("band", "key", "blocks", "da", "db")).alias("p"))
+    return once.select("p.band", "p.key", "p.blocks", "a", "b", "p.da", "p.db")
+
+
+def _confirmed_in_blocks(pairs: DataFrame, sets: DataFrame, over: int, under: int) -> DataFrame:
+    """Links (a, b) among ``pairs`` that reach the threshold on full sets, as many as it takes to join what a group joins.
+
+    The pairs of a bucket are dealt by the blocks of their ends; the full set of a member goes once to each pair of blocks
+    where a pair asks for it, so members that are all near the threshold cost their sets and not their pairs."""
+    gid = ["band", "key", "i", "j"]
+    block = lambda c: F.pmod(F.xxhash64(c), F.col("blocks")).cast("int")
+    placed = pairs.withColumns({"i": F.least(block("a"), block("b")), "j": F.greatest(block("a"), block("b"))})
+    ends = placed.select(*gid, F.col("a").alias("node"), F.col("da").alias("digest")).union(placed.select(*gid, "b", "db")).distinct()
+
+    def run(group: pa.Table) -> pa.Table:
+        asks = group.column("own").is_null()
+        asked, held = group.filter(asks), group.filter(pa.compute.invert(asks))
+        node = held.column("a").to_numpy()
+        own = [np.frombuffer(x, np.uint64) for x in held.column("own").to_pylist()]
+        order = np.argsort(node)
+        x, y = [order[np.searchsorted(node, asked.column(c).to_numpy(), sorter=order)] if len(node) else np.zeros(0, np.int64) for c in ("a", "b")]
+        both = common(own, np.arange(len(own)), np.arange(len(own)), (x, y))
+        size = np.array([len(s) for s in own], np.int64)
+        good = np.flatnonzero(under * both >= over * (size[x] + size[y] - both))
+        join = _joined(node)
+        good = [k for k in good.tolist() if join(int(node[x[k]]), int(node[y[k]]))]
+        return pa.table({"a": node[x[good]], "b": node[y[good]]})
+
+    asked = placed.select(*gid, "a", "b", F.lit(None).cast("binary").alias("own"))
+    held = ends.join(sets, "digest").select(*gid, F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "own")
+    return asked.union(held).groupBy(*gid).applyInArrow(run, "a long, b long")
+
+
+def _in_blocks(members: DataFrame, least: float, over: int, under: int) -> DataFrame:
+    """Links (a, b) between different components of a bucket, as many as it takes to join them.
+
+    ``members`` has band, key, n (members of the bucket, at most BLOCK), node, component, bands, bits, own (the full set).
+    A pair is looked at in the first band that it has in common; bit counts say which pairs may reach the threshold, and
+    those are decided on the full sets.  What comes out is at most a tree over the members."""
+    dealt = _dealt(members, ["band", "key"]).select("band", "key", "i", "j", "block", "node", "component", "bands", "bits", "own")
 
     def run(group: pa.Table) -> pa.Table:
         i, j, band = (group.column(c)[0].as_py() for c in ("i", "j", "band"))
         block, node, component = (group.column(c).to_numpy() for c in ("block", "node", "component"))
-        bits = np.array(group.column("bits").to_pylist(), np.int64).view(np.uint64).reshape(len(node), -1)
-        bands = np.array(group.column("bands").to_pylist(), np.int64).reshape(len(node), -1)
+        bits = _rows(group.column("bits")).view(np.uint64)
+        bands = _rows(group.column("bands"))
         own = [np.frombuffer(x, np.uint64) for x in group.column("own").to_pylist()]
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         alike = _estimates(bits[left], bits[right])
@@ -245,19 +407,9 @@ def _in_blocks(members: DataFrame, least: float, over: int, under: int) -> DataF
         size = np.array([len(x) for x in own], np.int64)
         both = common(own, left, right, pairs)
         good = under * both >= over * (size[left[pairs[0]]] + size[right[pairs[1]]] - both)
-        root = {int(c): int(c) for c in component}
-
-        def find(c: int) -> int:
-            while root[c] != c:
-                root[c] = c = root[root[c]]
-            return c
-
-        out = []
-        for x, y in zip(left[pairs[0][good]].tolist(), right[pairs[1][good]].tolist()):
-            p, q = find(int(component[x])), find(int(component[y]))
-            if p != q:
-                root[max(p, q)] = min(p, q)
-                out.append((int(node[x]), int(node[y])))
+        join = _joined(component)
+        both = zip(left[pairs[0][good]].tolist(), right[pairs[1][good]].tolist())
+        out = [(int(node[x]), int(node[y])) for x, y in both if join(int(component[x]), int(component[y]))]
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
     return dealt.groupBy("band", "key", "i", "j").applyInArrow(run, "a long, b long")
@@ -309,11 +461,21 @@ def groups(docs: DataFrame, words: int = WORDS, over: int = OVER, under: int = U
     split = placed.where("n > 2").groupBy("band", "key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band", "key")
     rest = durable(placed.join(split, ["band", "key"], "left_semi").select("band", "key", "n", "node", "digest", "component"))
     if not rest.isEmpty():
-        sets = full_sets(docs, text_of, rest.select("digest").distinct(), words)
+        sets = durable(full_sets(docs, text_of, rest.select("digest").distinct(), words))
         held = sets.join(classes.select("digest", "bands", "bits"), "digest")
-        more = durable(_in_blocks(rest.join(held, "digest"), least, over, under))
-        if not more.isEmpty():
-            found = durable(components(links.union(more)))
+        links = durable(links.union(_in_blocks(rest.where(F.col("n") <= BLOCK).join(held, "digest"), least, over, under)))
+        wide = rest.where(F.col("n") > BLOCK)
+        if not wide.isEmpty():
+            own = wide.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).join(sets, "digest")
+            usual = durable(_usual(own))
+            usual = F.broadcast(usual) if usual.count() <= BROADCAST_BUCKETS else usual
+            tokens = durable(_firsts(own.join(usual, ["band", "key"], "left"), over, under))
+            for trees in (True, False):  # the likeliest links first, so that few components are left for all pairs
+                found = components(links)
+                now = tokens.drop("component").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+                pairs = durable(_meeting(now, bits, least, over, under, trees))
+                links = durable(links.union(_confirmed_in_blocks(pairs, sets, over, under)))
+        found = durable(components(links))
 
     node_digest = classes.select("node", "digest")
     member = known.select("doc_id", "digest").distinct().join(node_digest, "digest").groupBy("doc_id").agg(F.min("node").alias("node"))

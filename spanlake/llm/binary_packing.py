@@ -30,7 +30,8 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, longest: int = LONGEST
     """One row for each piece: doc_id, start, length, bucket (log2 of length), ids (little-endian uint32), doc_tokens.
 
     ``longest`` is a power of two.  A null text counts as empty and has the end id alone (no row without ``end_id``);
-    a null doc_id stays null; repeated rows are cut each for itself; other columns of ``docs`` are ignored."""
+    a null doc_id stays null; repeated rows are cut each for itself; texts of any length are cut whole; other columns of
+    ``docs``, whatever their names, are ignored.  An empty table gives no row."""
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")
     path = tokenizer or default_path()

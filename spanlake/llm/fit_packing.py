@@ -6,6 +6,7 @@ grow with the corpus; within a block the fit is the global one of that block.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import BATCH_ROWS, raw
+from .frames import few_rows, raw, shared_folder
 from .subwords import chunk_ids, default_path
 
 LENGTH = 4096
@@ -79,7 +80,8 @@ def packed(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH,
     doc_ids and starts (of each segment: its document and how many of its ids come before).
 
     Documents longer than ``length`` are cut into pieces that are all kept.  A null text counts as empty and still has
-    its end id.  The vocabulary must fit 16 bits.  Repeated rows are packed each for itself; other columns are ignored.
+    its end id; an empty table gives no row.  The vocabulary must fit 16 bits.  Repeated rows are packed each for itself;
+    a null doc_id stays null; other columns, whatever their names, are ignored.
     """
     if not 1 <= length <= 65_536:
         raise ValueError("length must be from 1 to 65536")
@@ -118,19 +120,29 @@ def packed(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH,
         if held:
             yield emit(held)
 
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    few_rows(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     made = rows.mapInArrow(run, "n_ids int, ids binary, cu_seqlens array<int>, position_ids binary, doc_ids array<long>, starts array<long>")
     return made.select(F.monotonically_increasing_id().alias("sequence_id"), "*")
 
 
-def write_matrices(rows: DataFrame, path: str) -> None:
-    """Writes packed sequences as Parquet: fixed-width binary rows, read back as a matrix by ``np.frombuffer``."""
+def write_matrices(rows: DataFrame, path: str) -> DataFrame:
+    """Writes packed sequences as Parquet, a fixed-width binary row each, and returns them as they were read back.
+
+    ``matrix`` makes arrays of them.  A file that is there already is an error."""
     rows.write.mode("errorifexists").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def matrix(rows: list[bytes]) -> np.ndarray:
+    """Rows of ids or of positions as one uint16 matrix, sequence by sequence."""
+    return np.frombuffer(b"".join(rows), "<u2").reshape(len(rows), -1) if rows else np.zeros((0, 0), np.uint16)
 
 
-def digests(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """A row for each sequence with the checksums of its id and position rows and all of its segments."""
-    return packed(docs, tokenizer).select(
+def digests(docs: DataFrame, tokenizer: str | None = None, path: str | None = None) -> DataFrame:
+    """Writes the matrices of ``docs`` below ``path`` (a new folder in the shared one, if None) and returns a row for each
+    sequence that was read back, with the checksums of its id and position rows and all of its segments."""
+    path = path or f"{shared_folder(docs.sparkSession)}/packed-{uuid.uuid4().hex}"
+    return write_matrices(packed(docs, tokenizer), path).select(
         "sequence_id", "n_ids", F.crc32("ids").alias("ids_crc32"), F.crc32("position_ids").alias("positions_crc32"), "cu_seqlens", "doc_ids", "starts"
     )

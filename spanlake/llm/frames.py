@@ -29,29 +29,47 @@ def fold(key: Column, parts: int) -> Column:
     return F.coalesce(F.crc32(key.cast("string")) % parts, F.lit(-1))
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a checkpoint in the folder of spark.checkpoint.dir, which outlives any executor.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, named by spark.checkpoint.dir.
+
+    Where the session names none, a temporary one will do on a single machine (tests); elsewhere it is an error, as
+    executors would write where nobody else can read."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (named or tempfile.mkdtemp(prefix="spanlake-")).rstrip("/")
+
 
-    Only where the session names no folder (tests on one machine) a temporary one is set."""
+def durable(df: DataFrame) -> DataFrame:
+    """Cuts lineage with a checkpoint in the shared folder, which outlives any executor."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spanlake-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
-def map_texts(df: DataFrame, columns: list[str], schema: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]) -> DataFrame:
-    """Maps record batches of the named columns; ``make`` runs once in each task and returns the function of a batch.
+def few_rows(spark: SparkSession) -> None:
+    """Batches of BATCH_ROWS rows, unless the session has its own setting of the batch size.
+
+    Spark reads it when a plan runs, not when it is made, so it cannot be put back here."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, BATCH_ROWS)
 
-    The batch size is a setting of the session; it bounds what a Python worker holds of very long texts."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+def map_texts(df: DataFrame, columns: list[str], schema: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], rows: int = BATCH_ROWS) -> DataFrame:
+    """Maps record batches of at most ``rows`` rows of the named columns; ``make`` runs once in each task and returns the
+    function of a batch.  What a Python worker holds of very long texts is bounded by Spark's own batch of 64 MB."""
+    few_rows(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = None
         for batch in batches:
             step = step or make()
-            out = step(batch)
-            if out is not None and out.num_rows:
-                yield out
+            for at in range(0, batch.num_rows, rows):
+                out = step(batch.slice(at, rows))
+                if out is not None and out.num_rows:
+                    yield out
         pa.default_memory_pool().release_unused()  # workers are used again: what one task's texts took goes back
 
     return df.select(*columns).mapInArrow(run, schema)
@@ -59,7 +77,7 @@ def map_texts(df: DataFrame, columns: list[str], schema: str, make: Callable[[],
 
 def filter_texts(df: DataFrame, make: Callable[[], Callable[[list[bytes | None]], np.ndarray]]) -> DataFrame:
     """The rows of ``df``, with all their columns, whose text the function that ``make`` returns holds true; no shuffle."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    few_rows(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = None
@@ -102,14 +120,14 @@ def _below(many: dict[object, int], wanted: int) -> Column:
     return held
 
 
-def bounded_sample(docs: DataFrame, labelled: DataFrame, per_label: int, most_labels: int = 256, longest: int = 50_000) -> list[tuple[int, bytes, object]]:
-    """At most ``per_label`` documents of each label, chosen by the hash of doc_id: (doc_id, text, label), in that order.
+def bounded_sample(docs: DataFrame, labelled: DataFrame, per_label: int, make: Callable[[], Callable[[bytes], bytes]], most_labels: int = 256) -> list[tuple[int, bytes, object]]:
+    """At most ``per_label`` documents of each label, chosen by the hash of doc_id: (doc_id, features, label), in that order.
 
-    ``labelled`` has (doc_id, label).  Texts that are null or over ``longest`` characters are not used for fitting (they
-    are scored like any other).  More than ``most_labels`` labels are an error, so the result is bounded by
-    per_label * most_labels * longest characters whatever the size of the corpus.  The scans that count labels and pick
-    ids read no text column.  Ids come to the driver from the low end of the hash's range alone, about twice per_label
-    of each label, so no task sees all ids of a label; of texts only the chosen ones come.
+    ``labelled`` has (doc_id, label).  ``make`` returns a function from a whole UTF-8 text to its packed features; it runs
+    where the texts lie, so texts of any length are used and none comes to the driver.  A null text is not used.  More
+    than ``most_labels`` labels are an error, so the number of rows is bounded whatever the size of the corpus.  The
+    scans that count labels and pick ids read no text column.  Ids come to the driver from the low end of the hash's
+    range alone, about twice per_label of each label, so no task sees all ids of a label.
     """
     many = {r.label: r["count"] for r in labelled.groupBy("label").count().limit(most_labels + 1).collect()}
     if len(many) > most_labels:
@@ -123,10 +141,20 @@ def bounded_sample(docs: DataFrame, labelled: DataFrame, per_label: int, most_la
         return []
     spark = docs.sparkSession
     chosen = F.broadcast(spark.createDataFrame([(int(r.doc_id),) for r in {r.doc_id: r for r in picked}.values()], "doc_id long"))
-    texts: dict[int, bytes] = {}
-    for r in docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= longest)).join(chosen, "doc_id", "left_semi").collect():
-        texts[r.doc_id] = max(r.text.encode(), texts.get(r.doc_id, b""))  # of repeated ids the largest text, whatever the order
-    return [(r.doc_id, texts[r.doc_id], r.label) for r in sorted(picked, key=lambda r: (r._o, r.doc_id)) if r.doc_id in texts]
+
+    def featured():
+        features = make()
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array([features(t) for t in raw(batch, "text")], pa.binary())], ["doc_id", "features"])
+
+        return step
+
+    texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id", "left_semi")
+    found: dict[int, bytes] = {}
+    for r in map_texts(texts, ["doc_id", "text"], "doc_id long, features binary", featured).collect():
+        found[r.doc_id] = max(bytes(r.features), found.get(r.doc_id, b""))  # of repeated ids one text, whatever the order
+    return [(r.doc_id, found[r.doc_id], r.label) for r in sorted(picked, key=lambda r: (r._o, r.doc_id)) if r.doc_id in found]
 
 
 class WordRows(dict):

@@ -24,8 +24,8 @@ BUCKETS, WIDTH = 1 << 15, 16
 PER_LANGUAGE = 600
 #: Rejection may cost at most this share of the rightly predicted calibration documents.
 LOST = 0.002
-#: Words of a training snippet, snippets of a document, passes, first step.
-SNIPPET, SNIPPETS, PASSES, STEP = 40, 5, 2, 4.0
+#: Words of a training part, parts of a document (longer parts, if that is too few for all words), passes, first step.
+PART, PARTS, PASSES, STEP = 40, 5, 2, 4.0
 
 _MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~0123456789"
 _letters = regex.compile(r"\p{L}+").findall
@@ -102,29 +102,46 @@ class Model:
         return score
 
 
+def training_parts(text: bytes) -> bytes:
+    """A whole text as at most PARTS training parts, each the counts of its n-grams, packed; every word is in one part.
+
+    A part is its number of buckets, the buckets and the counts, as little-endian uint32."""
+    words = text.split()
+    wide = max(PART, -(-len(words) // PARTS))
+    out = []
+    for at in range(0, len(words), wide):
+        ids = [g for w in words[at : at + wide] for g in subwords(w)]
+        if ids:
+            own, many = np.unique(np.array(ids, np.uint32), return_counts=True)
+            out.append(np.concatenate([[len(own)], own, many]).astype("<u4").tobytes())
+    return b"".join(out)
+
+
+def unpacked(packed: bytes) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(buckets, counts) of each part."""
+    rows, at, out = np.frombuffer(packed, "<u4").astype(np.int64), 0, []
+    while at < len(rows):
+        n = int(rows[at])
+        out.append((rows[at + 1 : at + 1 + n], rows[at + 1 + n : at + 1 + 2 * n]))
+        at += 1 + 2 * n
+    return out
+
+
 def fit(sample: list[tuple[int, bytes, str]], lost: float = LOST, seed: int = 7) -> Model:
-    """Trains on (doc_id, text, language) rows; every fifth is held back for calibration.  No rows: a model without languages."""
+    """Trains on (doc_id, ``training_parts`` of the text, language) rows; every fifth is held back for calibration.  No rows: a
+    model without languages."""
     languages = sorted({x[2] for x in sample})
     k = len(languages)
     if not k:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 0.0)
-    rng, known = np.random.default_rng(seed), {}
+    rng = np.random.default_rng(seed)
     train, held = [], []
-    for i, (_, text, language) in enumerate(sample):
-        words, y = text.split(), languages.index(language)
+    for i, (_, packed, language) in enumerate(sample):
+        own, y = unpacked(packed), languages.index(language)
         if i % 5 == 0:
-            held.append((text, y))
-            continue
-        cuts = list(range(0, max(len(words), 1), SNIPPET))
-        for c in cuts if len(cuts) <= SNIPPETS else rng.choice(cuts, SNIPPETS, replace=False):
-            ids = []
-            for w in words[c : c + SNIPPET]:
-                if w not in known:
-                    known[w] = subwords(w)
-                ids += known[w]
-            if ids:
-                own, many = np.unique(np.array(ids, np.int64), return_counts=True)
-                train.append((own, (many / len(ids))[:, None], y))
+            held.append((own, y))
+        else:
+            train += [(ids, (many / many.sum())[:, None], y) for ids, many in own]
     embed = rng.normal(0, 0.3, (BUCKETS, WIDTH))
     layer, bias = np.zeros((WIDTH, k)), np.zeros(k)
     steps, done = max(1, PASSES * len(train)), 0
@@ -142,17 +159,15 @@ def fit(sample: list[tuple[int, bytes, str]], lost: float = LOST, seed: int = 7)
             layer -= 0.1 * step * np.outer(x, p)
             bias -= 0.01 * step * p
             embed[ids] -= step * back * share
-    model = Model(languages, embed @ layer, bias, 1.0, 0.0)
-    return calibrated(model, held, lost)
+    return calibrated(Model(languages, embed @ layer, bias, 1.0, 0.0), held, lost)
 
 
-def calibrated(model: Model, held: list[tuple[bytes, int]], lost: float) -> Model:
+def calibrated(model: Model, held: list[tuple[list[tuple[np.ndarray, np.ndarray]], int]], lost: float) -> Model:
     """Temperature of least loss on the held-back rows, then the highest limit that costs at most ``lost`` of the right ones."""
-    if not held:
-        return model
-
-    logits = model.logits()  # not kept: the model is broadcast without a table
-    known = [(x, y) for x, y in ((logits(text), y) for text, y in held) if x is not None]
+    known = []
+    for own, y in held:
+        if own:
+            known.append((sum(many @ model.table[ids] for ids, many in own) / sum(many.sum() for _, many in own) + model.bias, y))
     if not known:
         return model
     x, y = np.stack([a for a, _ in known]), np.array([b for _, b in known])
@@ -169,10 +184,11 @@ def calibrated(model: Model, held: list[tuple[bytes, int]], lost: float) -> Mode
 
 
 def train(docs: DataFrame, kept_out: int = 2, parts: int = 4, per_language: int = PER_LANGUAGE) -> Model:
-    """Learns from text and non-null lang of the documents outside the held-out fold."""
+    """Learns from whole texts and non-null lang of at most ``per_language`` documents of each language outside the
+    held-out fold, chosen by the hash of doc_id; an id that stands with several languages counts for the last by name."""
     rows = docs.where((fold(F.col("doc_id"), parts) != kept_out) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull())
     labelled = rows.groupBy("doc_id").agg(F.max("lang").alias("label"))
-    return fit(bounded_sample(docs, labelled, per_language))
+    return fit(bounded_sample(docs, labelled, per_language, lambda: training_parts))
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -180,7 +196,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     A null text, or one without a letter, is 'und' with score 0 and rejected; so is a text that scores below the model's
     limit, but it keeps the likeliest language.  Of equally likely languages the first in order of name is taken.
-    Repeated rows are scored each for itself; lang, source and doc_id play no part."""
+    Texts of any length are read whole.  Repeated rows are scored each for itself; lang, source, doc_id and any other
+    column, whatever its name, play no part.  An empty table gives no row; a model that learned nothing says 'und'."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():

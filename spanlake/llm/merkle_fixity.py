@@ -59,9 +59,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
         return step
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)
     files = spark.read.format("binaryFile").load(path)
-    return map_texts(files, ["path", "content"], "file string, seq long, start long, length long, digest string", make)
+    return map_texts(files, ["path", "content"], "file string, seq long, start long, length long, digest string", make, rows=1)
 
 
 def scan(content: bytes) -> list[tuple[int, int, str]]:
@@ -99,33 +98,40 @@ def write_warc(rows: list[tuple[int | None, str | None, str | None]], compress:
     return out.getvalue()
 
 
-def tree(leaves: DataFrame) -> list[DataFrame]:
-    """Levels from the leaves up to one root for each file: file, node, length, digest.
+def tree(leaves: DataFrame, height: int) -> list[DataFrame]:
+    """``height`` levels above the leaves, up to one root for each file: file, node, length, digest.
 
     A parent's digest covers each child's place, relative start and length, and digest, in order, so it does not change
-    when an earlier part of the file grows."""
+    when an earlier part of the file grows.  Files of any size have the same number of levels, so that trees of equal
+    height are compared node by node."""
     levels = [durable(leaves.select("file", F.col("seq").alias("node"), "length", "digest"))]
-    most = levels[0].agg(F.max("node")).first()[0] or 0
-    while most > 0 or len(levels) == 1:
+    for _ in range(height):
         child = F.struct("node", "length", "digest")
         parent = levels[-1].groupBy("file", F.floor(F.col("node") / FANOUT).cast("long").alias("up")).agg(F.array_sort(F.collect_list(child)).alias("c"))
         said = F.transform("c", lambda x, i: F.concat_ws(":", x.node.cast("string"), F.aggregate(F.slice("c", F.lit(1), i), F.lit(0).cast("long"), lambda s, y: s + y.length).cast("string"), x.length.cast("string"), x.digest))
         levels.append(durable(parent.select("file", F.col("up").alias("node"), F.aggregate("c", F.lit(0).cast("long"), lambda s, x: s + x.length).alias("length"), F.sha2(F.array_join(said, "\n"), 256).alias("digest"))))
-        most //= FANOUT
     return levels
 
 
+def height_of(*replicas: DataFrame) -> int:
+    """Levels that the largest file of all replicas needs, one at least."""
+    most = max(r.agg(F.max("seq")).first()[0] or 0 for r in replicas)
+    height = 1
+    while (most := most // FANOUT) > 0:
+        height += 1
+    return height
+
+
 def audit(one: DataFrame, two: DataFrame) -> DataFrame:
     """file, seq, kind, start_one, start_two, length_one, length_two, digest_one, digest_two: the records that differ.
 
-    ``one`` and ``two`` have the columns of ``records``.  kind is 'altered', or 'missing' or 'extra' for a record that
-    only the first or only the second replica has.  Equal replicas and two empty ones give no row."""
-    one, two = durable(one), durable(two)
-    a, b = tree(one), tree(two)
-    while len(a) < len(b):
-        a.append(_lifted(a[-1]))
-    while len(b) < len(a):
-        b.append(_lifted(b[-1]))
+    ``one`` and ``two`` have the columns of ``records``; others, whatever their names, are ignored.  kind is 'altered', or
+    'missing' or 'extra' for a record that only the first or only the second replica has.  Records are told apart by
+    (file, seq); of rows that repeat one, the smallest digest, then the smallest length, stands for the record in that
+    replica.  Rows without file or seq are no records.  Equal replicas and two empty ones give no row."""
+    one, two = [durable(_told_apart(x)) for x in (one, two)]
+    height = height_of(one, two)
+    a, b = tree(one, height), tree(two, height)
     wrong = None
     for x, y in zip(reversed(a), reversed(b)):
         if wrong is not None:
@@ -140,22 +146,32 @@ def audit(one: DataFrame, two: DataFrame) -> DataFrame:
     return left.join(right, ["file", "seq"], "full").select("file", "seq", kind.alias("kind"), *[f"{c}_{n}" for c in names for n in ("one", "two")])
 
 
-def _lifted(level: DataFrame) -> DataFrame:
-    """One level more above roots, for a replica whose files are shorter."""
-    child = F.struct("node", "length", "digest")
-    return level.groupBy("file", F.floor(F.col("node") / FANOUT).cast("long").alias("up")).agg(F.array_sort(F.collect_list(child)).alias("c")).select("file", F.col("up").alias("node"), F.col("c")[0]["length"].alias("length"), F.sha2(F.array_join(F.transform("c", lambda x: x.digest), "\n"), 256).alias("digest"))
+def _told_apart(replica: DataFrame) -> DataFrame:
+    """One row for each (file, seq)."""
+    rows = replica.where("file is not null and seq is not null").groupBy("file", "seq")
+    return rows.agg(F.min(F.struct("digest", "length", "start")).alias("_r")).select("file", "seq", "_r.start", "_r.length", "_r.digest")
 
 
-def damaged(pages: DataFrame) -> Column:
-    """Payload of the second replica in the query: by the md5 of the url, one in sixteen pages has its first character
-    overwritten and one in sixteen has lost its last five."""
+def damaged(pages: DataFrame) -> DataFrame:
+    """Second replica of ``records`` in the query.  By the md5 of the url, one page in sixteen has its first character
+    overwritten and one in sixteen has lost its last five.  Of each file with an even number the last record is lost, and
+    each other file has a record of zeros at its end."""
     html, d = F.coalesce(F.col("html"), F.lit("")), F.substring(F.md5(F.coalesce(F.col("url"), F.lit(""))), 1, 1)
-    return F.when(d == "0", F.concat(F.lit("~"), F.substring(html, 2, 2**31 - 1))).when(d == "1", F.substring(html, F.lit(1), F.greatest(F.length(html) - 5, F.lit(0)))).otherwise(html)
+    payload = F.when(d == "0", F.concat(F.lit("~"), F.substring(html, 2, 2**31 - 1))).when(d == "1", F.substring(html, F.lit(1), F.greatest(F.length(html) - 5, F.lit(0)))).otherwise(html)
+    rows = records(pages, payload)
+    last = rows.groupBy("file").agg(F.max("seq").alias("seq"), F.max(F.col("start") + F.col("length")).alias("start"))
+    lost = last.where("file % 2 = 0").select("file", "seq")
+    more = last.where("file % 2 <> 0").select("file", (F.col("seq") + 1).alias("seq"), "start", F.lit(len(ZEROS)).cast("long").alias("length"), F.sha2(F.lit(ZEROS), 256).alias("digest"))
+    return rows.join(lost, ["file", "seq"], "left_anti").select(*rows.columns).unionByName(more)
+
+
+#: A record that was added by mistake.
+ZEROS = "0" * 64
 
 
 def replicas(pages: DataFrame) -> DataFrame:
     """The audit of ``pages`` against a copy with known damage."""
-    return audit(records(pages), records(pages, damaged(pages)))
+    return audit(records(pages), damaged(pages))
 
 
 #: The records at fault, straight from a comparison of all records (DuckDB).
@@ -173,8 +189,10 @@ with p as (
     head || strlen(other) || chr(13) || chr(10) || chr(13) || chr(10) || other || chr(13) || chr(10) || chr(13) || chr(10) as b from r
 ), t as (
   select file, seq, strlen(a) la, strlen(b) lb, sha256(a) da, sha256(b) db,
-    sum(strlen(a)) over w - strlen(a) sa, sum(strlen(b)) over w - strlen(b) sb from s window w as (partition by file order by seq)
+    sum(strlen(a)) over w - strlen(a) sa, sum(strlen(b)) over w - strlen(b) sb, max(seq) over (partition by file) as last from s window w as (partition by file order by seq)
 )
 select file, seq, 'altered' as kind, cast(sa as bigint) start_one, cast(sb as bigint) start_two, cast(la as bigint) length_one, cast(lb as bigint) length_two, da digest_one, db digest_two
-from t where da <> db
+from t where da <> db and not (file % 2 = 0 and seq = last)
+union all select file, seq, 'missing', cast(sa as bigint), null, cast(la as bigint), null, da, null from t where file % 2 = 0 and seq = last
+union all select file, seq + 1, 'extra', null, cast(sb + lb as bigint), null, 64, null, sha256(repeat('0', 64)) from t where file % 2 <> 0 and seq = last
 """

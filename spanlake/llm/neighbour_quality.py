@@ -20,7 +20,9 @@ from .frames import WordRows, bounded_sample, filter_texts, fold, labels_of, map
 
 #: Hashed terms: the first part for a word's form, the second for its letters.
 FORMS, LETTERS = 1024, 1024
-TERMS = FORMS + LETTERS + 8
+#: After the words' terms: repeats of the word before, words seen before, repeated lines.
+REPEATS = 3
+TERMS = FORMS + LETTERS + REPEATS
 DIMENSIONS, NEIGHBOURS = 48, 15
 #: The labelled sample: at most so many documents of each label, hashed by doc_id.
 PER_LABEL = 1500
@@ -41,8 +43,8 @@ def word_terms(word: bytes) -> list[int]:
 
 
 def _counts(rows: WordRows, text: bytes | None) -> np.ndarray:
-    """Counts of a whole text's terms; the last eight count what single words do not show: repeats of the word before,
-    words seen before, repeated lines, short lines, long words."""
+    """Counts of a whole text's terms; the last REPEATS count what single words do not show: repeats of the word before,
+    words seen before (only of a text that says every word three times or more), repeated lines."""
     text = text or b""
     words = text.split()
     out = np.zeros(TERMS, np.float32)
@@ -52,7 +54,7 @@ def _counts(rows: WordRows, text: bytes | None) -> np.ndarray:
         again = int((at[1:] == at[:-1]).sum())
         lines = [x for x in (y.strip() for y in text.split(b"\n")) if x]
         seen = len(set(words))
-        out[-8:] = (again, len(words) - seen if len(words) > 3 * seen else 0, len(lines) - len(set(lines)), 0, 0, 0, 0, 0)
+        out[-REPEATS:] = (again, len(words) - seen if len(words) > 3 * seen else 0, len(lines) - len(set(lines)))
     return out
 
 
@@ -94,13 +96,31 @@ def scorer(model: Model):
     return score
 
 
-def fit(sample: list[tuple[int, bytes, int]], share_of_1: float) -> Model:
-    """Builds the space and the voters from (doc_id, text, label) rows; ``share_of_1`` is the labels' share in the corpus."""
+def packer():
+    """A function of a UTF-8 text: the places of the counts that are not 0, and the counts, as little-endian float32."""
     rows = WordRows(2, word_terms, np.int32)
-    counts = np.stack([_counts(rows, text) for _, text, _ in sample]) if sample else np.zeros((0, TERMS), np.float32)
+
+    def pack(text: bytes) -> bytes:
+        counts = _counts(rows, text)
+        there = np.flatnonzero(counts)
+        return np.concatenate([there, counts[there]]).astype("<f4").tobytes()
+
+    return pack
+
+
+def unpacked(packed: bytes) -> np.ndarray:
+    there, counts = np.frombuffer(packed, "<f4").reshape(2, -1)
+    out = np.zeros(TERMS, np.float32)
+    out[there.astype(np.int64)] = counts
+    return out
+
+
+def fit(sample: list[tuple[int, bytes, int]], share_of_1: float) -> Model:
+    """Builds the space and the voters from (doc_id, packed counts, label) rows; ``share_of_1`` is the labels' share in the corpus."""
+    counts = np.stack([unpacked(packed) for _, packed, _ in sample]) if sample else np.zeros((0, TERMS), np.float32)
     y = np.array([label for *_, label in sample], np.int64)
     part = np.ones(TERMS, np.float32)
-    part[:FORMS] = part[-8:] = FORM_WEIGHT
+    part[:FORMS] = part[-REPEATS:] = FORM_WEIGHT
     weights = part * np.log((1 + len(sample)) / (1 + (counts > 0).sum(0))).astype(np.float32)
     x = np.sqrt(counts) * weights
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
@@ -115,19 +135,21 @@ def fit(sample: list[tuple[int, bytes, int]], share_of_1: float) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, kept_out: int = 1, parts: int = 3, per_label: int = PER_LABEL) -> Model:
-    """Learns from the labels outside the held-out fold."""
+    """Learns from the whole texts of at most ``per_label`` documents of each label outside the held-out fold, chosen by
+    the hash of doc_id."""
     known = labels_of(labels, "quality").where((fold(F.col("doc_id"), parts) != kept_out) & F.col("label").isin(0, 1))
     shares = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
     there = docs.where("doc_id is not null").select("doc_id").distinct()
-    sample = bounded_sample(docs, known.join(there, "doc_id", "left_semi"), per_label)
+    sample = bounded_sample(docs, known.join(there, "doc_id", "left_semi"), per_label, packer)
     return fit(sample, shares.get(1, 0) / max(1, sum(shares.values())) if shares else 0.5)
 
 
 def classify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, predicted for each row: the score is the weighted share of label 1 among the nearest neighbours.
 
-    Null and empty texts resemble nothing and get the labels' share; with no labels at all that is 0.5.  Repeated rows
-    are scored each for itself; labels, lang, source and doc_id play no part."""
+    Null and empty texts resemble nothing and get the labels' share; with no labels at all that is 0.5.  Texts of any
+    length are read whole.  Repeated rows are scored each for itself; labels, lang, source, doc_id and any other column,
+    whatever its name, play no part.  An empty table gives no row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():

@@ -4,7 +4,7 @@ A word-level BPE whose pre-tokenizer never reaches across white space gives a te
 chunks, one after the other.  Chunks repeat, so each worker keeps a bounded table from chunk to packed ids and a
 second one from pre-token to packed ids: "Word", "word." and "WORD!!" share the entry of "word".  What the short way
 does not cover for certain (anything outside ASCII and Latin-1 letters) goes through ``Tokenizer.encode`` itself, and
-``tests/llm/test_subwords.py`` compares both on whole texts.
+``tests/llm/test_llm.py`` compares both on whole texts.
 """
 
 from __future__ import annotations

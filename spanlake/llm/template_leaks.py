@@ -6,7 +6,9 @@ numbers and names.  The values behind the placeholders must then stand for each
 item for one value of the document throughout a match, and the other way round.
 
 A window with too many placeholders says too little by itself.  It is searched for in two other ways: longer, until it has
-enough fixed words, to the right and to the left; and by its words as they stand, which finds verbatim copies.
+enough fixed words, to the right and to the left; and by its words as they stand, which finds verbatim copies.  An item
+without any other window is also searched for as a whole, its words of marks alone included: 'What is 12 + 5 - 3 * 7 ?' is
+found with other numbers, as its signs are fixed words.
 """
 
 from __future__ import annotations
@@ -34,8 +36,14 @@ LONGEST = 64
 LEAST_SHARE = 0.4
 #: Or if it has so many windows of the item in a row, however long the item is: 32 words as one passage.
 LEAST_RUN = 25
-#: Bits of the filter that documents' windows pass before the join; its size is fixed whatever the benchmark's is.
-FILTER_BITS = 22
+#: A whole item is a template of its own if it has so many words, those of marks alone included, at least half of them
+#: fixed, and so many of these with letters; up to LONGEST words.
+WHOLE_WORDS, WHOLE_FIXED = 5, 2
+#: Bits of the filter that documents' windows pass before the join, as a power of two: it has BITS_EACH bits for each window
+#: of the benchmark, 32 MB at most.
+LEAST_BITS, MOST_BITS, BITS_EACH = 22, 28, 32
+#: Item windows that may be broadcast for the join, some 30 MB; more are joined by a shuffle.
+BROADCAST_WINDOWS = 200_000
 
 #: Words that are a unit when they follow a number.
 UNITS = frozenset(
@@ -49,10 +57,10 @@ _number = re.compile(r"[+-]?\d[\d.,:/]*[a-z%°]{0,3}").fullmatch
 WORD, NUMBER, UNIT, NAME = range(4)
 _NAMES = ("", "<number>", "<unit>", "<name>")
 _odd = np.random.default_rng(99).integers(0, 2**63, 64, dtype=np.uint64) | np.uint64(1)
-PLAIN, LONGER, EXACT = range(3)
+PLAIN, LONGER, EXACT, WHOLE = range(4)
 _BASE = int(_odd[5]) & ~7 | 5
 _BACK = pow(_BASE, -1, 1 << 64)
-_SALTS = np.random.default_rng(98).integers(0, 2**63, 4, dtype=np.uint64)
+_SALTS = np.random.default_rng(98).integers(0, 2**63, 5, dtype=np.uint64)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 _SLOT_HASHES = np.array([0, *[xxhash.xxh3_64_intdigest(n) for n in _NAMES[1:]]], np.uint64)
 
@@ -92,6 +100,13 @@ class Template:
     kinds: np.ndarray  # WORD, NUMBER, UNIT or NAME
     values: np.ndarray  # hash of what stands there
     raw: np.ndarray  # the same with the words of marks alone
+    there: np.ndarray  # which of these are template words
+
+    def marked(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes and kinds with the words of marks alone, which are fixed words."""
+        hashes, kinds = self.raw.copy(), np.full(len(self.raw), WORD)
+        hashes[self.there], kinds[self.there] = self.hashes, self.kinds
+        return hashes, kinds
 
     def windows(self, size: int) -> np.ndarray:
         n = len(self.hashes) - size + 1
@@ -138,6 +153,11 @@ class Template:
         places = np.arange(max(0, len(self.raw) - size + 1))
         return _spans(self.raw, places, places + size, 3)
 
+    def wide(self, size: int) -> np.ndarray:
+        """Hashes of all template windows with the words of marks alone."""
+        places = np.arange(max(0, len(self.raw) - size + 1))
+        return _spans(self.marked()[0], places, places + size, 4)
+
 
 def template(text: bytes | None, table: Words) -> Template:
     """Canonical form of a whole text.  A name is a word with a capital and small letters that begins no sentence."""
@@ -151,7 +171,29 @@ def template(text: bytes | None, table: Words) -> Template:
     values, number, ends, flags = values[there], number[there], ends[there], flags[there]
     after = np.concatenate([[False], number[:-1]]) if len(flags) else np.zeros(0, bool)
     kinds = np.where(number, NUMBER, np.where(((flags & 2) > 0) & after, UNIT, np.where(((flags & 4) > 0) & ~ends, NAME, WORD)))
-    return Template(np.where(kinds == WORD, values, _SLOT_HASHES[kinds]), kinds, values, every)
+    return Template(np.where(kinds == WORD, values, _SLOT_HASHES[kinds]), kinds, values, every, there)
+
+
+class Filter:
+    """Which hashes may be among those that it was made of: two bits for each, no misses."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.power = min(MOST_BITS, max(LEAST_BITS, (BITS_EACH * max(1, len(hashes)) - 1).bit_length()))
+        bits = np.zeros(1 << self.power, bool)
+        for at in self._places(hashes.view(np.uint64)):
+            bits[at] = True
+        self.bits = np.packbits(bits, bitorder="little")
+
+    def _places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        mask = np.uint64((1 << self.power) - 1)
+        return (hashes & mask).astype(np.int64), (hashes >> np.uint64(64 - self.power)).astype(np.int64)
+
+    def may(self, hashes: np.ndarray) -> np.ndarray:
+        one, two = self._places(hashes)
+        there = (self.bits[one >> 3] >> (one & 7).astype(np.uint8) & 1).astype(bool)
+        at = np.flatnonzero(there)
+        there[at] = (self.bits[two[at] >> 3] >> (two[at] & 7).astype(np.uint8) & 1).astype(bool)
+        return there
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -163,8 +205,8 @@ def item_windows(items: DataFrame) -> DataFrame:
 
     ``way`` is PLAIN, LONGER or EXACT, and n[way] counts the item's windows that have a row of this way or a smaller one;
     the last is all windows.  Items shorter than WINDOW are one window of their own length; those shorter than LEAST_WORDS
-    are one EXACT window of all their words, with those of marks alone, and have minus its length as size.  Null and empty
-    items have none."""
+    are one EXACT window of all their words, with those of marks alone, and have minus its length as size.  An item without
+    PLAIN windows has a row of way WHOLE and of that size too, if it says enough.  Null and empty items have none."""
 
     def make():
         table = Words()
@@ -174,12 +216,19 @@ def item_windows(items: DataFrame) -> DataFrame:
             for key, text in zip(batch.column(0).to_pylist(), raw(batch, "text")):
                 t = template(text, table)
                 size = min(WINDOW, len(t.hashes))
+                dense = t.dense(size) if size else np.zeros(0, np.int64)
+                if size < LEAST_WORDS or len(dense) == len(t.hashes) - size + 1:
+                    marked, n = t.marked()[1], [0, 0, 1 if size < LEAST_WORDS else len(dense)]
+                    letters = int((t.kinds == WORD).sum())
+                    if WHOLE_WORDS <= len(marked) <= LONGEST and 2 * int((marked == WORD).sum()) >= len(marked) and letters >= WHOLE_FIXED:
+                        for column, value in zip(out, (int(_signed(t.wide(len(marked)))[0]), -len(marked), key, 0, WHOLE, n, marked.tolist(), _signed(t.raw).tolist())):
+                            column.append(value)
                 if size < LEAST_WORDS:
                     if len(t.raw):
                         for column, value in zip(out, (int(_signed(t.whole(len(t.raw)))[0]), -len(t.raw), key, 0, EXACT, [0, 0, 1], [], [])):
                             column.append(value)
                     continue
-                hashes, dense = _signed(t.windows(size)).tolist(), t.dense(size)
+                hashes = _signed(t.windows(size)).tolist()
                 rows = [(hashes[k], k, PLAIN, k, k + size) for k in sorted(set(range(len(hashes))) - set(dense.tolist()))]
                 for places, starts, ends, own in t.longer():
                     rows += zip(_signed(own).tolist(), places.tolist(), [LONGER] * len(own), starts.tolist(), ends.tolist())
@@ -253,20 +302,22 @@ def leaks(docs: DataFrame, items: DataFrame, least_share: float = LEAST_SHARE, l
     The share is the largest of those of the plain windows, of these and the longer ones, and of all; of ties the last.
     A passage of ``least_run`` windows of the item in a row is enough whatever the share.
     Whole texts are searched.  Null and empty texts carry nothing, and rows without doc_id or item_id cannot be named
-    and are left out; rows that share a doc_id are one document; of ties every item is returned.
+    and are left out; rows that share a doc_id are one document, and so are rows that share an item_id; of ties every item
+    is returned; other columns, whatever their names, are ignored.  Empty tables give no row.
     """
     known = durable(item_windows(items.where("item_id is not null")))
     ways = {(r.way, r.size) for r in known.select("way", "size").distinct().collect()}
     sizes, exact = [sorted(n for w, n in ways if w == way and n > 0) for way in (PLAIN, EXACT)]
-    whole = sorted(-n for _, n in ways if n < 0)
+    whole, wide = [sorted(-n for w, n in ways if w == way and n < 0) for way in (EXACT, WHOLE)]
     longer = any(w == LONGER for w, _ in ways)
-    marks = known.select(F.col("hash").bitwiseAND(F.lit((1 << FILTER_BITS) - 1)).alias("m")).distinct().toArrow().column("m").to_numpy()
-    bits = np.zeros(1 << FILTER_BITS, bool)
-    bits[marks] = True
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))  # 512 KB, whatever the benchmark's size
+    hashes = known.select("hash").distinct().toArrow().column("hash").to_numpy()
+    filtered = Filter(hashes)
+    shared = docs.sparkSession.sparkContext.broadcast(filtered)
+    if len(hashes) <= BROADCAST_WINDOWS and known.count() <= BROADCAST_WINDOWS:
+        known = F.broadcast(known)
 
     def make():
-        table, may = Words(), np.unpackbits(shared.value).astype(bool)
+        table, may = Words(), shared.value.may
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             out: list[list] = [[] for _ in range(5)]
@@ -274,15 +325,20 @@ def leaks(docs: DataFrame, items: DataFrame, least_share: float = LEAST_SHARE, l
                 t = template(text, table)
                 own = [(None, None, None, t.windows(size), size) for size in sizes] + [(None, None, None, t.exact(size), size) for size in exact]
                 for places, starts, ends, hashes, size in own + [(*x, None) for x in t.longer()] if longer else own:
-                    for i in np.flatnonzero(may[(hashes & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)]).tolist():
+                    for i in np.flatnonzero(may(hashes)).tolist():
                         q, a, z = (i, i, i + size) if size else (int(places[i]), int(starts[i]), int(ends[i]))
                         for column, value in zip(out, (key, q, z - a, int(hashes[i : i + 1].view(np.int64)[0]), _signed(t.values[a:z]).tolist())):
                             column.append(value)
                 for size in whole:
                     hashes = np.unique(t.whole(size))  # one place in a text is enough
-                    for h in _signed(hashes[may[(hashes & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)]]).tolist():
+                    for h in _signed(hashes[may(hashes)]).tolist():
                         for column, value in zip(out, (key, 0, -size, h, [])):
                             column.append(value)
+                for size in wide:
+                    hashes = t.wide(size)
+                    for i in np.flatnonzero(may(hashes)).tolist():
+                        for column, value in zip(out, (key, i, -size, int(hashes[i : i + 1].view(np.int64)[0]), _signed(t.raw[i : i + size]).tolist())):
+                            column.append(value)
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["doc_id", "q", "size", "hash", "theirs"])
 
@@ -296,11 +352,16 @@ def leaks(docs: DataFrame, items: DataFrame, least_share: float = LEAST_SHARE, l
         columns = [group.column(c).to_pylist() for c in ("at", "q", "kinds", "slots", "theirs")]
         matches, ways, wanted = list(zip(*columns)), group.column("way").to_pylist(), group.column("n")[0].as_py()
         places, same, n = set(), False, 0
+        single = [consistent([m]) for m, w in zip(matches, ways) if w == WHOLE]
+        single = [alike for found, alike in single if found]
+        matches, ways = [m for m, w in zip(matches, ways) if w != WHOLE], [w for w in ways if w != WHOLE]
         for way, many in enumerate(wanted):
             if many and (way == PLAIN or many > wanted[way - 1] or way in ways):
                 found, alike = consistent([m for m, w in zip(matches, ways) if w <= way])
                 if not n or len(found) * n >= len(places) * many:
                     places, same, n = found, alike, many
+        if single and (len(places) < wanted[-1] or not same):  # the whole item, with these values or others
+            places, same, n = set(range(wanted[-1])), any(single), wanted[-1]
         if not places or len(places) < least_share * n and not longest_run(matches, least_run):
             return group.slice(0, 0).select(["doc_id", "item_id"]).append_column("n_windows", pa.array([], pa.int64())).append_column("n_found", pa.array([], pa.int64())).append_column("share", pa.array([], pa.float64())).append_column("same_values", pa.array([], pa.bool_()))
         return pa.table({"doc_id": group.column("doc_id")[:1], "item_id": group.column("item_id")[:1], "n_windows": pa.array([n], pa.int64()), "n_found": pa.array([len(places)], pa.int64()), "share": [len(places) / n], "same_values": [same]})

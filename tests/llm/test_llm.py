@@ -68,6 +68,49 @@ def test_ledger_is_idempotent(spark, tmp_path, odd):
     assert ledger.commit("c", revisions=token_rollup.count_tokens(odd.where("doc_id = 6").withColumn("text", F.lit("one")), {"words": None}))
     assert ledger.rollup().first().n_tokens == 6 + 7 + 1 + 2 - 0 + len(ODD[6][1].encode().split()) - 7
     assert ledger.batches() == ["a", "b", "c"]
+    before = sorted(map(tuple, ledger.rollup().collect()), key=repr)
+    assert ledger.compact() and not ledger.compact() and ledger.commit("d", deletes=spark.createDataFrame([(5,)], "doc_id long"))
+    assert ledger.rollup().first().n_docs == len(ODD) - 3 and ledger.live(spark.createDataFrame([(5,)], "doc_id long")).isEmpty()
+    assert ledger.commit("e", inserts=counts.where("doc_id = 5")) and sorted(map(tuple, ledger.rollup().collect()), key=repr) == before
+    assert ledger.commit("f", inserts=counts.limit(0), deletes=counts.limit(0)) and ledger.live().count() == ledger.live().distinct().count()
+
+
+def test_two_writers_at_once(spark, tmp_path, odd):
+    """Both listed the markers before either committed: both batches count once, and the later one sees the earlier."""
+    counts = token_rollup.count_tokens(odd, {"words": None}).where("doc_id = 5")
+    a, b = [token_rollup.Ledger(spark, str(tmp_path / "l")) for _ in range(2)]
+    b.commit("first", inserts=counts)
+    listed, took = a._marks, []
+
+    def late(kind):
+        marks = listed(kind)
+        if kind == "commits" and not took:
+            took.append(b.commit("other", inserts=counts))
+        return marks
+
+    a._marks = late
+    assert a.commit("mine", deletes=spark.createDataFrame([(5,)], "doc_id long")) and took == [True]
+    assert a.batches() == ["first", "other", "mine"] and a.rollup().isEmpty() and a.live().isEmpty()
+    assert not a.commit("other", inserts=counts) and len(list((tmp_path / "l/changes").iterdir())) == 3
+
+
+def test_a_claimed_number_is_waited_for(spark, tmp_path, odd):
+    counts = token_rollup.count_tokens(odd, {"words": None})
+    ledger = token_rollup.Ledger(spark, str(tmp_path / "l"), patience=0.3)
+    (tmp_path / "l/commits").mkdir(parents=True)
+    (tmp_path / "l/commits/00000000").write_text("")
+    assert ledger.batches() == []
+    with pytest.raises(RuntimeError, match="never described"):
+        ledger.commit("a", inserts=counts)
+
+
+def test_rollup_of_nothing_and_nulls(spark, tmp_path):
+    docs = spark.createDataFrame([(1, None, None, "a b"), (2, "s", None, None), (None, None, "en", "c")], "doc_id long, source string, lang string, text string")
+    labels = spark.createDataFrame([(1, None, 1), (None, 0, 0), (2, 0, None)], "doc_id long, quality int, toxic int")
+    versions = {"words": None}
+    got = {tuple(r) for r in token_rollup.maintained(docs, labels, versions, str(tmp_path / "a")).collect()}
+    assert got == {(None, None, "words", 1, 2, 3), (None, "en", "words", 1, 1, 1)}
+    assert token_rollup.maintained(docs.limit(0), labels.limit(0), versions, str(tmp_path / "b")).isEmpty()
 
 
 def test_segment_tree_is_best_fit():
@@ -89,6 +132,9 @@ def test_segment_tree_is_best_fit():
 
 def test_fit_packing_is_lossless(spark, odd):
     docs = table(spark, "documents").select("doc_id", "text").unionByName(odd.where("doc_id <> 1").select(F.col("doc_id") + 10_000, "text").toDF("doc_id", "text"))
+    repeated = [(d, s) for r in fit_packing.packed(odd, length=64).collect() for d, s in zip(r.doc_ids, r.starts)]
+    assert repeated.count((1, 0)) == 2 and repeated.count((None, 0)) == 1 and fit_packing.packed(odd.limit(0)).isEmpty()
+    assert binary_packing.digests(odd.limit(0)).isEmpty()
     parts, n = collections.defaultdict(dict), 0
     for r in fit_packing.packed(docs, length=512).collect():
         ids, places = np.frombuffer(r.ids, "<u2"), np.frombuffer(r.position_ids, "<u2")
@@ -155,11 +201,11 @@ def test_sample_is_the_low_end_of_the_hash(spark):
     want = collections.defaultdict(list)
     for r in ranked:
         want[r[2]].append(r)
-    got = frames.bounded_sample(docs, labelled, 150)
+    got = frames.bounded_sample(docs, labelled, 150, lambda: bytes)
     assert got == [r for r in ranked if r in want["rare"][:150] or r in want["usual"][:150]] and len(got) == 250
-    assert frames.bounded_sample(docs.limit(0), labelled.limit(0), 150) == []
+    assert frames.bounded_sample(docs.limit(0), labelled.limit(0), 150, lambda: bytes) == []
     with pytest.raises(ValueError):
-        frames.bounded_sample(docs, labelled, 150, most_labels=1)
+        frames.bounded_sample(docs, labelled, 150, lambda: bytes, most_labels=1)
 
 
 def test_classifiers_on_held_out_rows(spark):
@@ -181,7 +227,7 @@ def test_language(spark, odd):
     truth = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}
     rows = language_id.predictions(docs).collect()
     assert np.mean([r.lang_pred == truth[r.doc_id] for r in rows if r.held_out]) > 0.97 and np.mean([r.rejected for r in rows]) < 0.02
-    model = language_id.fit([(i, ("the cat and dog" if i % 2 else "der hund und die katze").encode() * 3, "en" if i % 2 else "de") for i in range(40)])
+    model = language_id.fit([(i, language_id.training_parts(("the cat and dog" if i % 2 else "der hund und die katze").encode() * 3), "en" if i % 2 else "de") for i in range(40)])
     said = {r.doc_id: r for r in language_id.identify(odd, model).collect()}
     assert [said[k].lang_pred for k in (2, 3, 4, 7)] == ["und"] * 4 and said[1].lang_pred in ("en", "de") and said[2].rejected
     assert {r.lang_pred for r in language_id.identify(odd, language_id.fit([])).collect()} == {"und"}
@@ -321,7 +367,45 @@ def test_leaks_of_short_items(spark):
         [(1, "So: what is 17 * 24? And what is 17 * 24?"), (2, "What is 17 + 24?"), (3, "What is 18 * 24?"), (4, "What is 17 24?"), (5, "(E = m c)"), (6, "E m c"), (7, "a $$$ b"), (8, ""), (9, None), (10, "What is 17 *"), (11, "to Tallinn.")],
         "doc_id long, text string")
     got = {(r.doc_id, r.item_id): (r.n_windows, r.n_found, r.same_values) for r in template_leaks.leaks(docs, items).collect()}
-    assert got == {k: (1, 1, True) for k in [(1, 1), (5, 2), (7, 5), (11, 7)]}
+    assert got == {k: (1, 1, True) for k in [(1, 1), (5, 2), (7, 5), (11, 7)]} | {(3, 1): (1, 1, False)}
+
+
+def test_leaks_of_whole_items_with_other_numbers(spark):
+    """An item whose windows are all dense is found verbatim and with other numbers, but not with other signs."""
+    items = spark.createDataFrame([(1, "What is 12 + 5 - 3 * 7 ?"), (2, "1 2 3 4 5 6 7"), (3, "$ 1 $ 2 $ 3 $ 4 $")], "item_id long, text string")
+    docs = spark.createDataFrame(
+        [(1, "noise. What is 12 + 5 - 3 * 7 ? noise"), (2, "Now, what is 31 + 8 - 2 * 9 ? Ask"), (3, "what is 31 + 8 - 2 + 9 ?"), (4, "what is 31 8 2 9 ?"), (5, "2 3 4 5 6 7 8"), (6, "What is 12 + 12 - 3 * 7 ?"), (7, "$ 2 $ 2 $ 2 $ 2 $")],
+        "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.same_values for r in template_leaks.leaks(docs, items).collect()}
+    assert got == {(1, 1): True, (2, 1): False}
+
+
+def test_planted_reparameterised_items(spark):
+    """Of problems with other numbers and names planted in prose, at least nine of ten are found, and no clean document."""
+    rng = np.random.default_rng(12)
+    prose = [f"{a}{b}" for a in "ba ce di fo gu la me ni po ru".split() for b in "nd rt sk mb lt".split()]
+    names, templates = ["Anna", "Otto", "Clara", "Dora", "Emil", "Frida"], [
+        "If {n} buys {a} apples for {b} euros each and sells them for {c} euros how much does {n} earn",
+        "A train travels {a} km in {b} hours and then {c} km in {b} hours so how fast is it on average",
+        "{n} has {a} books and gives {b} of them to {m} who had {c} books before and then counts them all",
+        "What is {a} + {b} - {c} * {a} ?",
+        "A tank holds {a} liters and loses {b} liters each hour until {c} liters are left so how long does it take",
+    ]
+
+    def made(k, seed):
+        r = np.random.default_rng(seed)
+        n, m = r.choice(names, 2, replace=False)
+        a, b, c = r.choice(np.arange(2, 90), 3, replace=False)
+        return templates[k].format(n=n, m=m, a=a, b=b, c=c)
+
+    items = spark.createDataFrame([(k, made(k, 100 + k)) for k in range(len(templates))], "item_id long, text string")
+    rows = []
+    for i in range(60):
+        words = rng.choice(prose, 120).tolist()
+        rows.append((i, " ".join(words[:50] + ([". " + made(i % 5, 1000 + i)] if i < 40 else []) + [".", *words[50:]])))
+    got = {(r.doc_id, r.item_id) for r in template_leaks.leaks(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
+    planted = {(i, i % 5) for i in range(40)}
+    assert got <= planted and len(got) >= 0.9 * len(planted)
 
 
 def test_leaks_against_brute_force(spark):
@@ -345,6 +429,14 @@ def test_fixity(spark, tmp_path):
     assert merkle_fixity.audit(one, one).isEmpty() and merkle_fixity.audit(one.limit(0), one.limit(0)).isEmpty()
     got = merkle_fixity.audit(one, one.where("not (file = 0 and seq in (698, 699, 700))")).collect()
     assert {(r.kind, r.seq) for r in got} >= {("missing", 700)}
+    # trees of unlike size: 20 small files and one that is a level higher in one replica alone
+    files = spark.range(21 * 10).selectExpr("id div 10 as file", "id % 10 as seq", "(id % 10) * 5 as start", "5L as length", "sha2(string(id), 256) as digest")
+    longer = files.unionByName(spark.range(10, 300).selectExpr("0L as file", "id as seq", "id * 5 as start", "5L as length", "sha2(string(-id), 256) as digest"))
+    a, b = [[x.digest for x in merkle_fixity.tree(r, merkle_fixity.height_of(files, longer))[-1].orderBy("file").collect()] for r in (files, longer)]
+    assert len(a) == len(b) == 21 and [i for i in range(21) if a[i] != b[i]] == [0]
+    got = merkle_fixity.audit(files, longer.withColumns({"label": F.lit(1), "node": F.lit(2), "up": F.lit(3)})).collect()
+    assert {(r.kind, r.file) for r in got} == {("extra", 0)} and len(got) == 290
+    assert merkle_fixity.audit(files, files.union(files)).isEmpty() and merkle_fixity.audit(files, files.union(files.selectExpr("null", "seq", "start", "length", "digest"))).isEmpty()
     for k, compress in enumerate((False, True)):
         rows = [(i, f"http://e/{i}", f"<p>{i} é</p>") for i in range(40)]
         for side in "ab":
@@ -357,6 +449,15 @@ def test_fixity(spark, tmp_path):
         assert a.count() == 40 and [(r.seq, r.kind) for r in merkle_fixity.audit(a, b).collect()] == [(17, "altered")]
 
 
+def test_scan_of_damaged_files():
+    whole = merkle_fixity.write_warc([(1, "u", "<p>a</p>"), (2, "v", "<p>b</p>")])
+    assert [x[1] for x in merkle_fixity.scan(whole)] == [len(whole) // 2] * 2
+    assert len(merkle_fixity.scan(whole.replace(b"Content-Length", b"Content-Wrong", 1))) == 1  # nothing tells where the next one starts
+    assert merkle_fixity.scan(b"") == [] and merkle_fixity.scan(b"\x1f\x8bno gzip")[0][:2] == (0, 9)
+    cut = merkle_fixity.scan(whole[:-7])
+    assert len(cut) == 2 and cut[1][0] + cut[1][1] == len(whole) - 7
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
