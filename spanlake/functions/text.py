@@ -92,8 +92,14 @@ def occurrences(text: Column, excerpt: Column) -> Column:
     return F.when((F.length(excerpt) > 0) & text.contains(excerpt), found).otherwise(F.array().cast("array<int>"))
 
 
-def citation(text: Column) -> Column:
-    """struct(family, number) of a leading article or paragraph label, the number in lower case; null if there is none."""
-    article = F.regexp_extract(text, r"(?iU)^\s*(?:Чл\.|Член)\s*([0-9]+[а-я]?)", 1)
-    sign = F.regexp_extract(text, r"(?iU)^\s*§\s*([0-9]+[а-я]?)", 1)
-    return F.when(article != "", F.struct(F.lit("article").alias("family"), F.lower(article).alias("number"))).when(sign != "", F.struct(F.lit("paragraph_sign").alias("family"), F.lower(sign).alias("number")))
+def citation(text: Column, kind: Column | None = None) -> Column:
+    """struct(family, number) of a leading article or paragraph label, the number in lower case; null if there is none.
+
+    The number ends at the end of a word: 'Чл. 2текст' has none.  With ``kind`` only a block whose marker is of the
+    label's own family counts."""
+    out = F.lit(None)
+    for family, pattern in (("paragraph_sign", r"(?iU)^\s*§\s*([0-9]+[а-я]?)\b"), ("article", r"(?iU)^\s*(?:Чл\.|Член)\s*([0-9]+[а-я]?)\b")):
+        number = F.regexp_extract(text, pattern, 1)
+        ok = number != "" if kind is None else (number != "") & F.coalesce(kind == family, F.lit(False))
+        out = F.when(ok, F.struct(F.lit(family).alias("family"), F.lower(number).alias("number"))).otherwise(out)
+    return out

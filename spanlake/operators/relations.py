@@ -12,8 +12,11 @@ WIDE = ("section", "chapter")
 
 
 def larger_parents(units: DataFrame, anchors: DataFrame) -> DataFrame:
-    """doc_id, parent, first, last, start, end, n_members for anchors(doc_id, parent, first, last): the units from first to last."""
-    rows = units.join(anchors, "doc_id").where("first <= unit and unit <= last")
+    """doc_id, parent, first, last, start, end, n_members for anchors(doc_id, parent, first, last): the units from first to last.
+
+    An equi-join on (document, unit): each anchor names its units."""
+    named = anchors.where("first <= last").withColumn("unit", F.explode(F.sequence(F.col("first").cast("long"), F.col("last").cast("long"))))
+    rows = units.join(named, ["doc_id", "unit"])
     return rows.groupBy("doc_id", "parent", "first", "last").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_members"))
 
 

@@ -155,10 +155,7 @@ def unit_kinds(s, d):
 
 
 def _children(s, d) -> DataFrame:
-    own = _units(s, d).where("end - start > 4000").join(docs(s, d), "doc_id")
-    rows = own.select("doc_id", "unit", F.col("start").alias("base"), F.expr("substring(text, start + 1, end - start)").alias("text"))
-    cut = windows.fixed_windows(rows, 2000, 200, keep_text=False)
-    return cut.select("doc_id", "unit", "ordinal", (F.col("base") + F.col("start")).alias("start"), (F.col("base") + F.col("end")).alias("end"))
+    return windows.span_windows(_units(s, d).where("end - start > 4000").select("doc_id", "unit", "start", "end"), 2000, 200).select("doc_id", "unit", "ordinal", "start", "end")
 
 
 def hybrid_spans(s, d):

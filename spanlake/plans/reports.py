@@ -166,12 +166,6 @@ def marker_inventory(s, d):
     return relations.marker_spans(rows)
 
 
-def marker_context(s, d):
-    """The last six markers at or before every tenth line."""
-    rows = Q._blocks_with_markers(s, d)
-    return relations.observed_context(rows.where("kind is not null"), rows.where("position % 10 = 0").select("doc_id", F.col("position").alias("at")))
-
-
 def observed_context(s, d):
     """The last six markers at or before every line."""
     rows = Q._blocks_with_markers(s, d)
@@ -253,7 +247,7 @@ SQL = {
     "brackets": f"""with {_BRACKETS} select doc_id, cast(start as int) as start, cast("end" as int) as "end", case when "end" is null then 'unmatched_open' end as reason from pr union all select doc_id, cast(i as int), null, 'unmatched_close' from bs where d = -1 and not exists (select 1 from pr where pr.doc_id = bs.doc_id and pr."end" = i + 1)""",
     "bracket_notes": f'with {_BRACKETS} select doc_id, cast(start as int) as start, cast("end" as int) as "end" from nt',
     "note_anchors": f"""with {_BRACKETS}, x as (select doc_id, start, "end", coalesce(lead(start) over (partition by doc_id order by start), length(text)) as stop, length(regexp_extract(substr(text, "end" + 1), '^[ \\n\\t]*')) as blank from nt join documents using (doc_id))
-      select doc_id, cast(start as int) as start, cast("end" as int) as "end", cast(least("end" + blank, stop) as int) as a_start, cast(least(least("end" + blank, stop) + 60, stop) as int) as a_end from x""",
+      select doc_id, cast(start as int) as start, cast("end" as int) as "end", cast(least("end" + blank, stop) as int) as a_start, cast(least(least("end" + blank, stop) + 60, stop) as int) as a_end from x where "end" + blank < stop""",
     "note_shares": f"""with {Q._WINDOWS}, {_BRACKETS}, o as (select * from pr x where "end" is not null and not exists (select 1 from pr y where x.doc_id = y.doc_id and y.start < x.start and x."end" < y."end")),
       r as (select * from w where configuration = 'fixed-1000-10'), a as (select sum(least(r."end", o."end") - greatest(r.start, o.start)) as k from r join o on r.doc_id = o.doc_id and r.start < o."end" and o.start < r."end"),
       c as (select count(*) as k from r join pr on r.doc_id = pr.doc_id and r.start < pr."end" and pr.start < r."end" where pr.start < r.start or pr."end" > r."end")
@@ -266,7 +260,7 @@ SQL = {
       select b.item_id as reference_id, case when coalesce(f.k, 0) = 1 then 'exact' when f.k > 1 then 'ambiguous' when coalesce(h.k, 0) = 1 then 'partial' when h.k > 1 then 'ambiguous' else 'unmatched' end as status, coalesce(f.k, 0) as n_full, coalesce(h.k, 0) as n_hits from benchmark b left join f on f.item_id = b.item_id left join h on h.item_id = b.item_id""",
     "page_map": "with r as (select page_id, split_part(url, '#', 1) as a from pages) select x.page_id as reference_id, count(distinct y.page_id) as n, case count(distinct y.page_id) when 1 then 'exact' when 0 then 'unmatched' else 'ambiguous' end as status from r x left join r y on x.a = y.a group by 1",
     "marker_inventory": f"with {Q._LINES}, {Q._MARKED} select doc_id, kind, label, position as first, lead(position) over (partition by doc_id order by position) as stop from m where kind is not null",
-    "marker_context": f'with {Q._LINES}, {Q._MARKED}, x as (select a.doc_id, a.position as "at", c.position, cast(row_number() over (partition by a.doc_id, a.position order by c.position desc) as int) as rank from m a join m c on a.doc_id = c.doc_id and c.position <= a.position and c.kind is not null where a.position % 10 = 0) select doc_id, "at", rank, position from x where rank <= 6',
+    "observed_context": f'with {Q._LINES}, {Q._MARKED}, c as (select doc_id, list(position order by position) as marks from m where kind is not null group by 1), x as (select m.doc_id, m.position as "at", list_reverse(list_filter(marks, lambda p: p <= m.position))[1:6] as last from m join c on m.doc_id = c.doc_id) select doc_id, "at", cast(unnest(range(1, len(last) + 1)) as int) as rank, unnest(last) as position from x where len(last) > 0',
     "repeated_labels": f"with {Q._LINES}, {Q._MARKED} select label, count(*) as n, count(distinct doc_id) as n_docs, min(doc_id) as first from m where label is not null group by 1 having count(*) > 1",
     "view_faults": "select doc_id from documents where text <> text",
 }
@@ -274,7 +268,7 @@ SQL = {
 QUERIES = (
     fixed_corpus_diagnostics, fixed_sample_diagnostics, fixed_violations, fixed_grid_violations, unit_size_flags, exceed_shares, decision_counts, oversized_thresholds, oversized_exact, oversized_diagnostics, exact_against_aware,
     larger_parents, parent_expansion, parent_sample_coverage, enclosing_parents, span_context, hybrid_totals, hybrid_against_fixed, strategy_rubric, note_anchors, note_shares, uncovered_tokens,
-    alignment_decisions, page_map, marker_inventory, marker_context, observed_context, repeated_labels, view_faults,
+    alignment_decisions, page_map, marker_inventory, observed_context, repeated_labels, view_faults,
 )
 
 

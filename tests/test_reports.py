@@ -89,7 +89,42 @@ def test_anchor_after_a_long_blank_run(spark):
     texts = spark.createDataFrame([(1, "(a)" + " \n\t" * 70_000 + "bc"), (2, "(a)" + " " * 9000 + "(d)" + " " * 5000)], "doc_id long, text string")
     found = spark.createDataFrame([(1, 0, 3), (2, 0, 3), (2, 9003, 9006)], "doc_id long, start int, end int")
     got = sorted((r.doc_id, r.start, r.a_start, r.a_end) for r in history.anchors(found, texts).collect())
-    assert got == [(1, 0, 210_003, 210_005), (2, 0, 9003, 9003), (2, 9003, 14_006, 14_006)]
+    assert got == [(1, 0, 210_003, 210_005)]  # a note that only white space follows has no anchor
+
+
+def test_citation_ends_with_a_word(spark):
+    from pyspark.sql import functions as F
+
+    from spanlake.functions import text as T
+
+    rows = [("Чл. 2текст", None), ("Чл. 2а текст", "article"), ("§ 6.", "article"), ("Член 7", "article"), (None, "article")]
+    got = spark.createDataFrame(rows, "t string, k string").select(T.citation(F.col("t")).alias("c"), T.citation(F.col("t"), F.col("k")).alias("d")).collect()
+    assert [r.c and (r.c.family, r.c.number) for r in got] == [None, ("article", "2а"), ("paragraph_sign", "6"), ("article", "7"), None]
+    assert [r.d and r.d.number for r in got] == [None, "2а", None, "7", None]
+
+
+def test_linear_lines_and_windows_of_a_long_text(spark):
+    """Lines, paragraphs and windows of one text of a million code points, beside plain slicing."""
+    import random
+
+    from spanlake.operators import views
+
+    rng = random.Random(2)
+    text = "".join(rng.choice(["ab", "я", "🙂", "\n", " "]) for _ in range(600_000))
+    docs = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "\n"), (5, "x\n\ny")], "doc_id long, text string")
+    got = views.line_blocks(docs).orderBy("doc_id", "position").collect()
+    want, texts = [], {1: text, 3: "", 4: "\n", 5: "x\n\ny"}
+    for doc, t in texts.items():
+        at = 0
+        for i, line in enumerate(t.split("\n")):
+            want.append((doc, i, line, at, at + len(line)))
+            at += len(line) + 1
+    assert [tuple(r) for r in got] == want
+    spans = {r.doc_id: r.paragraphs for r in windows.paragraph_spans(docs).collect()}
+    assert spans[2] is None and spans[3] == [] and [tuple(s) for s in spans[4]] == [(0, 1)] and [tuple(s) for s in spans[5]] == [(0, 2), (2, 3), (3, 4)]
+    assert "".join(text[s.a : s.b] for s in spans[1]) == text and all(text[s.b - 1] == "\n" for s in spans[1][:-1])
+    cut = windows.fixed_windows(docs, 1000, 100).where("doc_id = 1").orderBy("ordinal").collect()
+    assert [r.text for r in cut] == [text[i : i + 1000] for i in range(0, max(1, len(text) - 100), 900)] and all(r.text == text[r.start : r.end] for r in cut)
 
 
 def test_uncovered(spark):
