@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import citation, probes, url_without_fragment
 
+#: What becomes of a reference.
 STATUSES = ("exact", "partial", "ambiguous", "unmatched")
 
 
@@ -70,8 +71,9 @@ def align(excerpts: DataFrame, texts: DataFrame) -> DataFrame:
 
 def citation_locations(blocks: DataFrame, ends: DataFrame) -> DataFrame:
     """doc_id, family, number, start, end: from a block that leads with a label to the next such block, or to the end of
-    the text; blocks(doc_id, position, raw_text, start), ends(doc_id, n)."""
-    rows = blocks.withColumn("c", citation(F.col("raw_text"))).where("c is not null").select("doc_id", "c.*", "position", "start")
+    the text; blocks(doc_id, position, raw_text, start and, optional, the marker's kind), ends(doc_id, n)."""
+    kind = F.col("kind") if "kind" in blocks.columns else None
+    rows = blocks.withColumn("c", citation(F.col("raw_text"), kind)).where("c is not null").select("doc_id", "c.*", "position", "start")
     nxt = F.lead("start").over(Window.partitionBy("doc_id").orderBy("position"))
     return rows.withColumn("_n", nxt).join(ends, "doc_id").select("doc_id", "family", "number", "start", F.coalesce("_n", "n").alias("end"))
 

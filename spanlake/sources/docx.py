@@ -54,7 +54,7 @@ def _paragraph(p: ET.Element) -> dict:
         if child.tag == W + "r":
             own = child.find(W + "rPr")
             runs.append({"position": len(runs), "raw_text": visible_text(child)} | {name: _flag(own, tag) for tag, name in FLAGS.items()})
-        elif child.tag not in (W + "pPr", W + "proofErr", W + "bookmarkStart", W + "bookmarkEnd", W + "hyperlink"):
+        elif child.tag != W + "pPr":  # its text would be in no run
             raise ValueError(f"unexpected {child.tag} in a paragraph")
     return {"type": "paragraph", "raw_text": "".join(visible_text(c) for c in p if c.tag != W + "pPr"), "style_id": None if style is None else style.get(W + "val"), "runs": runs, "cells": None}
 

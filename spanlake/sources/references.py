@@ -10,16 +10,18 @@ from pyspark.sql import functions as F
 
 from .docx import member
 
+#: The fields of the input format.
 FIELDS = ("document", "source_ref", "citation", "heading", "text")
 
 
 def numbered_lines(spark: SparkSession, path: str, inside: str) -> DataFrame:
-    """(line, value) of a member of the archives at ``path``; numbers start at 1 and count blank lines."""
+    """(line, value) of a member of the archives at ``path``; numbers start at 1 and count blank lines.  Lines end at
+    whatever ``str.splitlines`` takes for an end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0).to_pylist():
-                lines = member(content, inside).decode("utf-8").split("\n")
+                lines = member(content, inside).decode("utf-8").splitlines()
                 yield pa.RecordBatch.from_arrays([pa.array(range(1, len(lines) + 1), pa.int32()), pa.array(lines)], ["line", "value"])
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "line int, value string")
