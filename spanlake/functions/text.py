@@ -103,3 +103,19 @@ def citation(text: Column, kind: Column | None = None) -> Column:
         ok = number != "" if kind is None else (number != "") & F.coalesce(kind == family, F.lit(False))
         out = F.when(ok, F.struct(F.lit(family).alias("family"), F.lower(number).alias("number"))).otherwise(out)
     return out
+
+
+def escaped(text: Column) -> Column:
+    """Text that is safe inside HTML and inside an attribute's quotes."""
+    for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        text = F.replace(text, F.lit(plain), F.lit(entity))
+    return text
+
+
+def preview(text: Column, most: int = 160) -> Column:
+    return F.substring(text, 1, most)
+
+
+def is_region_marker(text: Column, heading: Column, marker: str) -> Column:
+    """A heading of level 2 with exactly this text."""
+    return F.coalesce((heading == 2) & (text == marker), F.lit(False))

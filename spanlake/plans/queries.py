@@ -273,6 +273,13 @@ _CHILDREN = """k0 as (
 ), k as (select doc_id, unit, cast(k + 1 as int) as ordinal, cast(base + k * 1800 as int) as start, cast(base + least(k * 1800 + 2000, n) as int) as "end" from k0)"""
 
 SQL = {
+    "parent_child_faults": f"""with {_LINES}, {_MARKED}, {_UNITS}, {_CHILDREN}, y as (select k.doc_id || ':' || k.unit as parent_id, u.start as p0, u."end" as p1, k.ordinal, k.start, k."end" as stop from k join u on u.doc_id = k.doc_id and u.unit = k.unit),
+      x as (select *, row_number() over q as place, lag(start) over q as prev, max(stop) over (partition by parent_id order by ordinal rows between unbounded preceding and 1 preceding) as before, max(stop) over (partition by parent_id) as last from y window q as (partition by parent_id order by ordinal)),
+      f as (select parent_id, case when start < p0 or stop > p1 then 'outside parent' when ordinal <> place then 'ordinal' when prev >= start then 'order' when start > coalesce(before, p0) then 'gap' when stop <= before then 'redundant' when last < p1 then 'gap' end as fault from x)
+      select distinct 'oversized-2000-10' as link_set, parent_id, fault from f where fault is not null""",
+    "reference_statuses": """with h as (select b.item_id, cast(coalesce(sum(len(list_filter(range(0, length(d.text) - length(b.text) + 1), lambda i: substr(d.text, i + 1, length(b.text)) = b.text))), 0) as bigint) as k from benchmark b left join documents d on length(b.text) > 0 and contains(d.text, b.text) group by 1),
+      s as (select case when k = 1 then 'exact' when k > 1 then 'ambiguous' else 'unmatched' end as status from h), c as (select * from (values (0, 'exact'), (1, 'partial'), (2, 'ambiguous'), (3, 'unmatched')) v(place, status))
+      select cast(place as int) as place, c.status, count(s.status) as n from c left join s on s.status = c.status group by 1, 2""",
     "line_blocks": f'with {_LINES} select doc_id, position, start, "end", md5(raw_text) as digest from b',
     "block_identity": f"with {_LINES} select doc_id, position, sha256(doc_id || ':line:' || position) as block_id from b",
     "document_views": "select doc_id, cast(length(text) as int) as n, sha256(text) as digest from documents where text is not null",
