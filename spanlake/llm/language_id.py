@@ -105,7 +105,8 @@ class Model:
 def training_parts(text: bytes) -> bytes:
     """A whole text as at most PARTS training parts, each the counts of its n-grams, packed; every word is in one part.
 
-    A part is its number of buckets, the buckets and the counts, as little-endian uint32."""
+    Parts follow each other as (length of what is compressed, compressed): the buckets as little-endian uint16 and then
+    the counts as uint32.  The driver keeps them so and opens one at a time."""
     words = text.split()
     wide = max(PART, -(-len(words) // PARTS))
     out = []
@@ -113,20 +114,28 @@ def training_parts(text: bytes) -> bytes:
         ids = [g for w in words[at : at + wide] for g in subwords(w)]
         if ids:
             own, many = np.unique(np.array(ids, np.uint32), return_counts=True)
-            out.append(np.concatenate([[len(own)], own, many]).astype("<u4").tobytes())
+            part = zlib.compress(own.astype("<u2").tobytes() + many.astype("<u4").tobytes(), 1)
+            out += [len(part).to_bytes(4, "little"), part]
     return b"".join(out)
 
 
-def unpacked(packed: bytes) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(buckets, counts) of each part."""
-    rows, at, out = np.frombuffer(packed, "<u4").astype(np.int64), 0, []
-    while at < len(rows):
-        n = int(rows[at])
-        out.append((rows[at + 1 : at + 1 + n], rows[at + 1 + n : at + 1 + 2 * n]))
-        at += 1 + 2 * n
+def cut_parts(packed: bytes) -> list[bytes]:
+    """The compressed parts of a text."""
+    at, out = 0, []
+    while at < len(packed):
+        n = int.from_bytes(packed[at : at + 4], "little")
+        out.append(packed[at + 4 : at + 4 + n])
+        at += 4 + n
     return out
 
 
+def opened(part: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, counts) of a part."""
+    plain = zlib.decompress(part)
+    n = len(plain) // 6
+    return np.frombuffer(plain, "<u2", n), np.frombuffer(plain, "<u4", n, 2 * n)
+
+
 def fit(sample: list[tuple[int, bytes, str]], lost: float = LOST, seed: int = 7) -> Model:
     """Trains on (doc_id, ``training_parts`` of the text, language) rows; every fifth is held back for calibration.  No rows: a
     model without languages."""
@@ -137,17 +146,19 @@ def fit(sample: list[tuple[int, bytes, str]], lost: float = LOST, seed: int = 7)
     rng = np.random.default_rng(seed)
     train, held = [], []
     for i, (_, packed, language) in enumerate(sample):
-        own, y = unpacked(packed), languages.index(language)
+        own, y = cut_parts(packed), languages.index(language)
         if i % 5 == 0:
             held.append((own, y))
         else:
-            train += [(ids, (many / many.sum())[:, None], y) for ids, many in own]
+            train += [(part, y) for part in own]
     embed = rng.normal(0, 0.3, (BUCKETS, WIDTH))
     layer, bias = np.zeros((WIDTH, k)), np.zeros(k)
     steps, done = max(1, PASSES * len(train)), 0
     for _ in range(PASSES):
         for i in rng.permutation(len(train)):
-            ids, share, y = train[i]
+            part, y = train[i]
+            ids, many = opened(part)
+            share = (many / many.sum())[:, None]
             step = STEP * (1 - done / steps)
             done += 1
             x = (embed[ids] * share).sum(0)
@@ -162,11 +173,11 @@ def fit(sample: list[tuple[int, bytes, str]], lost: float = LOST, seed: int = 7)
     return calibrated(Model(languages, embed @ layer, bias, 1.0, 0.0), held, lost)
 
 
-def calibrated(model: Model, held: list[tuple[list[tuple[np.ndarray, np.ndarray]], int]], lost: float) -> Model:
+def calibrated(model: Model, held: list[tuple[list[bytes], int]], lost: float) -> Model:
     """Temperature of least loss on the held-back rows, then the highest limit that costs at most ``lost`` of the right ones."""
     known = []
-    for own, y in held:
-        if own:
+    for packed, y in held:
+        if own := [opened(part) for part in packed]:
             known.append((sum(many @ model.table[ids] for ids, many in own) / sum(many.sum() for _, many in own) + model.bias, y))
     if not known:
         return model

@@ -122,9 +122,12 @@ def fit(sample: list[tuple[int, bytes, int]], share_of_1: float) -> Model:
     part = np.ones(TERMS, np.float32)
     part[:FORMS] = part[-REPEATS:] = FORM_WEIGHT
     weights = part * np.log((1 + len(sample)) / (1 + (counts > 0).sum(0))).astype(np.float32)
-    x = np.sqrt(counts) * weights
+    x = np.sqrt(counts)
+    x *= weights
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    values, vectors = np.linalg.eigh((x.T @ x).astype(np.float64)) if len(sample) else (np.zeros(TERMS), np.eye(TERMS))
+    alike = x.T @ x
+    del x
+    values, vectors = np.linalg.eigh(alike) if len(sample) else (np.zeros(TERMS), np.eye(TERMS))
     axes = vectors[:, np.argsort(values)[::-1][:DIMENSIONS]].astype(np.float32)
     votes = np.zeros((len(sample), 2), np.float32)
     for label, share in ((0, 1 - share_of_1), (1, share_of_1)):

@@ -30,8 +30,8 @@ def test_long_labelled_texts_are_used_whole(spark):
     assert len(LONG) > 60_000
     got = {i: f for i, f, _ in sampled(spark, lambda: bytes, rows)}
     assert got == {1: LONG.encode(), 2: b"short", 4: b""}
-    n = {i: sum(int(many.sum()) for _, many in language_id.unpacked(f)) for i, f, _ in sampled(spark, lambda: language_id.training_parts, rows)}
-    assert n[1] == sum(len(language_id.subwords(w)) for w in LONG.encode().split()) and len(language_id.unpacked(language_id.training_parts(LONG.encode()))) == language_id.PARTS
+    n = {i: sum(int(language_id.opened(part)[1].sum()) for part in language_id.cut_parts(f)) for i, f, _ in sampled(spark, lambda: language_id.training_parts, rows)}
+    assert n[1] == sum(len(language_id.subwords(w)) for w in LONG.encode().split()) and len(language_id.cut_parts(language_id.training_parts(LONG.encode()))) == language_id.PARTS
 
 
 def test_language_logits_from_raw_grams(spark, docs):
