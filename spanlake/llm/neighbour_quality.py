@@ -9,6 +9,7 @@ products, and the labels of its nearest neighbours vote with their similarity as
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,6 +25,8 @@ FORMS, LETTERS = 1024, 1024
 REPEATS = 3
 TERMS = FORMS + LETTERS + REPEATS
 DIMENSIONS, NEIGHBOURS = 48, 15
+#: Rounds of the subspace iteration, axes beyond DIMENSIONS that it carries, rows of a block of the sample.
+ROUNDS, SPARE, SAMPLE_BLOCK = 12, 16, 256
 #: The labelled sample: at most so many documents of each label, hashed by doc_id.
 PER_LABEL = 1500
 #: Forms tell more of quality than letters do; the power sharpens similarity.
@@ -68,8 +71,7 @@ class Model:
     cut: float = 0.5
 
     def vectors_of(self, counts: np.ndarray) -> np.ndarray:
-        x = np.sqrt(counts) * self.weights
-        x = x @ self.axes
+        x = (np.sqrt(counts) * self.weights) @ self.axes
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
     def scores(self, counts: np.ndarray) -> np.ndarray:
@@ -115,25 +117,48 @@ def unpacked(packed: bytes) -> np.ndarray:
     return out
 
 
+def _blocks(sample: list[tuple[int, bytes, int]]) -> Iterator[np.ndarray]:
+    """The counts of the sample's rows, SAMPLE_BLOCK rows at a time: the driver never holds all of them unpacked."""
+    for at in range(0, len(sample), SAMPLE_BLOCK):
+        yield np.stack([unpacked(packed) for _, packed, _ in sample[at : at + SAMPLE_BLOCK]])
+
+
+def _unit(counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    x = np.sqrt(counts) * weights
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
+def _axes(sample: list[tuple[int, bytes, int]], weights: np.ndarray, seed: int = 5) -> np.ndarray:
+    """The first DIMENSIONS right singular vectors of the sample's weighted rows, by subspace iteration with SPARE more
+    axes than wanted: each round multiplies the axes by the rows and back, a block at a time."""
+    q = np.linalg.qr(np.random.default_rng(seed).normal(size=(TERMS, DIMENSIONS + SPARE)).astype(np.float32))[0]
+    for _ in range(ROUNDS):
+        grown = np.zeros_like(q)
+        for counts in _blocks(sample):
+            x = _unit(counts, weights)
+            grown += x.T @ (x @ q)
+        q = np.linalg.qr(grown)[0]
+    within = np.zeros((q.shape[1], q.shape[1]))
+    for counts in _blocks(sample):
+        y = (_unit(counts, weights) @ q).astype(np.float64)
+        within += y.T @ y
+    values, vectors = np.linalg.eigh(within)
+    return (q @ vectors[:, np.argsort(values)[::-1][:DIMENSIONS]]).astype(np.float32)
+
+
 def fit(sample: list[tuple[int, bytes, int]], share_of_1: float) -> Model:
     """Builds the space and the voters from (doc_id, packed counts, label) rows; ``share_of_1`` is the labels' share in the corpus."""
-    counts = np.stack([unpacked(packed) for _, packed, _ in sample]) if sample else np.zeros((0, TERMS), np.float32)
     y = np.array([label for *_, label in sample], np.int64)
     part = np.ones(TERMS, np.float32)
     part[:FORMS] = part[-REPEATS:] = FORM_WEIGHT
-    weights = part * np.log((1 + len(sample)) / (1 + (counts > 0).sum(0))).astype(np.float32)
-    x = np.sqrt(counts)
-    x *= weights
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    alike = x.T @ x
-    del x
-    values, vectors = np.linalg.eigh(alike) if len(sample) else (np.zeros(TERMS), np.eye(TERMS))
-    axes = vectors[:, np.argsort(values)[::-1][:DIMENSIONS]].astype(np.float32)
+    having = sum(((counts > 0).sum(0) for counts in _blocks(sample)), np.zeros(TERMS, np.int64))
+    weights = part * np.log((1 + len(sample)) / (1 + having)).astype(np.float32)
     votes = np.zeros((len(sample), 2), np.float32)
     for label, share in ((0, 1 - share_of_1), (1, share_of_1)):
         votes[y == label, label] = share / max(1, (y == label).sum()) * len(sample)
-    model = Model(weights, axes, np.zeros((DIMENSIONS, 0), np.float32), votes, share_of_1)
-    model.vectors = np.ascontiguousarray(model.vectors_of(counts).T) if len(sample) else model.vectors
+    model = Model(weights, _axes(sample, weights), np.zeros((DIMENSIONS, 0), np.float32), votes, share_of_1)
+    if sample:
+        model.vectors = np.ascontiguousarray(np.concatenate([model.vectors_of(counts) for counts in _blocks(sample)]).T)
     return model
 
 
