@@ -222,3 +222,36 @@ def test_stages_beside_plain_versions(spark, docs):
     for r in own.where("doc_id is not null and (doc_id < 30 or doc_id > 9000)").collect():
         assert np.concatenate([pieces[r.doc_id][s] for s in sorted(pieces[r.doc_id])]).tolist() == encoded(r.text) + [2]
     assert binary_packing.lengths(5000, 4096) == [4096, 512, 256, 128, 8]
+
+
+def test_axes_in_blocks_are_those_of_the_whole_decomposition():
+    rng = np.random.default_rng(4)
+    sample = []
+    for i in range(600):  # 60 topics of own terms, so singular values fall off
+        counts = np.zeros(neighbour_quality.TERMS, np.float32)
+        topic = int(60 * rng.random() ** 2)
+        np.add.at(counts, 30 * topic + rng.integers(0, 30, 80), 1)
+        there = np.flatnonzero(counts)
+        sample.append((i, np.concatenate([there, counts[there]]).astype("<f4").tobytes(), topic % 2))
+    model = neighbour_quality.fit(sample, 0.5)
+    counts = np.stack([neighbour_quality.unpacked(p) for _, p, _ in sample])
+    x = np.sqrt(counts) * model.weights
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    wanted = np.linalg.svd(x.astype(np.float64))[1][: neighbour_quality.DIMENSIONS]
+    assert np.allclose(np.sort(np.linalg.norm(x @ model.axes, axis=0))[::-1], wanted, rtol=1e-3)
+    assert np.allclose(model.axes.T @ model.axes, np.eye(neighbour_quality.DIMENSIONS), atol=1e-4)
+    assert model.vectors.shape == (neighbour_quality.DIMENSIONS, len(sample))
+    empty = neighbour_quality.fit([], 0.25)
+    assert np.allclose(empty.scores(counts[:3]), 0.25)
+
+
+def test_no_split_of_a_rate_lies_below_zero():
+    rng = np.random.default_rng(3)
+    good = rng.uniform(0.1, 0.2, (400, 6))
+    good[:, 1:4] = 0  # rates that no good row has
+    forest = isolation_rules.grow(good)
+    inner = forest.feature >= 0
+    assert inner.any() and (forest.split[inner] >= 0).all()
+    odd = good[:50].copy()
+    odd[:, 1] = 0.3
+    assert forest.scores(odd).min() > forest.scores(good).max()
